@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing
+from . import chat, langid, licenses, mixing, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 2: language identification ----------------------------------------------------------
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    texts = docs.select("doc_id", "text")
+    out = langid.predict(texts, model)
+    return out.select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "phrase_rate"
+    )
+
+
 # --- 3: chat formatting ------------------------------------------------------------------
 
 #: A conversation whose texts look like control strings, added to the table.
@@ -108,6 +121,23 @@ from forms f left join known k on sha256(f.form) = k.d left join hits h on f.doc
 """
 
 
+# --- 8: token ids ------------------------------------------------------------------------
+
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.tokenize_to_table(docs, tokenizer_path(), end_id=END_ID)
+
+
 # --- 10: mixing --------------------------------------------------------------------------
 
 #: Target weights: the crawl source 'src0' is cut to the weight of two others.
@@ -152,8 +182,10 @@ from (select *, unnest(range(n)) as i from counts where n > 0) t
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op7_license_scan": op7_license_scan,
+    "op8_token_ids": op8_token_ids,
     "op10_mix_sources": op10_mix_sources,
 }
 
