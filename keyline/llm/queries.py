@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, mixing, tokens
+from . import chat, langid, licenses, mixing, ngram_join, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: n-gram Jaccard join --------------------------------------------------------------
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+OP1_SQL = """
+with recursive split as (
+  select doc_id, [x for x in string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+') if x <> ''] as w
+  from documents
+),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)])) end as s
+  from split
+),
+sized as (select doc_id, s, len(s) as n, min(doc_id) over (partition by s) as same from sets),
+grams as (select doc_id, n, unnest(s) as g from sized where n > 0 and doc_id = same),
+links as (
+  select a.doc_id as x, b.doc_id as y from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reach as (
+  select doc_id as x, doc_id as y from sized where doc_id = same
+  union select reach.x, links.y from reach join links on reach.y = links.x
+),
+parts as (select x, min(y) as part from reach group by x)
+select s.doc_id, s.n as n_shingles, case when s.n = 0 then s.doc_id else p.part end as component_id,
+  case when s.n = 0 then s.doc_id else s.same end as class_id
+from sized s left join parts p on s.same = p.x
+"""
+
+
 # --- 2: language identification ----------------------------------------------------------
 
 
@@ -182,6 +219,7 @@ from (select *, unnest(range(n)) as i from counts where n > 0) t
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op7_license_scan": op7_license_scan,
@@ -190,6 +228,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": OP1_SQL,
     "op3_chat_format": OP3_SQL,
     "op7_license_scan": OP7_SQL,
     "op10_mix_sources": OP10_SQL,
