@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, mixing, ngram_join, tokens
+from . import chat, jpeg, langid, licenses, mixing, ngram_join, tokens
+from .storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +116,17 @@ from rows group by conv_id
 """
 
 
+# --- 6: media columns --------------------------------------------------------------------
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark, "media")
+    jpeg.pack_texts(docs).write.option("compression", "zstd").parquet(scratch.path("media"))
+    stored = spark.read.schema("doc_id long, media binary").parquet(scratch.path("media"))
+    return jpeg.unpack_digests(stored)
+
+
 # --- 7: licence scan ---------------------------------------------------------------------
 
 
@@ -222,6 +234,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
+    "op6_media_columns": op6_media_columns,
     "op7_license_scan": op7_license_scan,
     "op8_token_ids": op8_token_ids,
     "op10_mix_sources": op10_mix_sources,
