@@ -73,11 +73,14 @@ def groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int
         start = end
 
 
-def word_hashes(data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each row the index of its first word (n + 1)."""
+def word_hashes(data: np.ndarray, where: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each row the index of its first word (n + 1).
+
+    ``blank`` says which bytes separate words.
+    """
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(where), np.int64)
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     first = np.empty_like(solid)
     first[0] = True
     np.logical_not(solid[:-1], out=first[1:])
