@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jpeg, langid, licenses, mixing, ngram_join, tokens
+from . import chat, decontam, jpeg, langid, licenses, mixing, ngram_join, pii, tokens
 from .storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,27 @@ from rows group by conv_id
 """
 
 
+# --- 4: PII surrogates -------------------------------------------------------------------
+
+PII_KEY = "surrogates-1"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.replace_pii(docs, secret_key=PII_KEY)
+    return out.select(
+        "doc_id", "text", F.size("pii_types").cast("long").alias("n_entities"), F.array_join("pii_types", ",").alias("pii_types")
+    )
+
+
+# --- 5: benchmark decontamination --------------------------------------------------------
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
 # --- 6: media columns --------------------------------------------------------------------
 
 
@@ -234,6 +255,8 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
+    "op4_pii_surrogates": op4_pii_surrogates,
+    "op5_decontamination": op5_decontamination,
     "op6_media_columns": op6_media_columns,
     "op7_license_scan": op7_license_scan,
     "op8_token_ids": op8_token_ids,
