@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jpeg, langid, licenses, mixing, ngram_join, pii, tokens
+from . import chat, decontam, jpeg, langid, licenses, mixing, ngram_join, pii, tokens, warc
 from .storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,75 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize_to_table(docs, tokenizer_path(), end_id=END_ID)
 
 
+# --- 9: WARC revisits --------------------------------------------------------------------
+
+#: Time between the first crawl, in which every page is a response, and the second.
+RECRAWL = 10**12
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """Two captures of each page: a full response at page_id, and one not modified later.
+
+    The second crawl comes in the reverse order. Its revisits carry the ETag of the page
+    as their client knew it, so they disagree where a page of the same canonical URL but
+    with other content was crawled last.
+    """
+    etag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    first = pages.select(
+        F.concat(F.lit("r"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("record_id"),
+        F.lit("response").alias("warc_type"), "url", F.col("page_id").alias("ts"), F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), etag, F.lit("Content-Length"), size, F.lit("Date"), F.col("page_id").cast("string")).alias("headers"),
+    )
+    second = pages.select(
+        F.concat(F.lit("v"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("record_id"),
+        F.lit("revisit").alias("warc_type"), "url", (2 * RECRAWL - F.col("page_id")).alias("ts"), F.lit(304).alias("status"),
+        F.create_map(
+            F.lit("ETag"), etag, F.lit("Content-Length"), F.lit("0"), F.lit("Date"), (2 * RECRAWL - F.col("page_id")).cast("string")
+        ).alias("headers"),
+    )
+    return first.unionByName(second)
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(page_records(_table(spark, sf_dir, "pages")))
+    return out.select(
+        "record_id", "canonical", "ts", "response_id", "response_ts", "outcome",
+        *[F.element_at("headers", h).alias(h.replace("-", "_")) for h in ("etag", "content-length", "date")],
+    )
+
+
+OP9_SQL = r"""
+with parts as (
+  select page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:[a-z][a-z0-9+.-]*:)?//', '') as rest
+  from pages
+),
+canon as (
+  select page_id, html,
+    regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^(?:www|m)\.', ''), ':(?:80|443)$', '')
+    || regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/(?i:index\.html?)$', '/'), '/+$', '') as place,
+    case when contains(rest, '?') then regexp_replace(rest, '^[^?]*\?', '') else '' end as query
+  from parts
+),
+kept as (
+  select page_id, html, place, list_sort([p for p in string_split(query, '&')
+    if p <> '' and not regexp_matches(p, '^(?i:utm_[a-z]+|ref|fbclid|gclid|sessionid)=')]) as q
+  from canon
+),
+urls as (
+  select page_id, place || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as canonical,
+    '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' as etag, cast(strlen(coalesce(html, '')) as varchar) as size
+  from kept
+),
+last as (select canonical, max(page_id) as page_id from urls group by 1)
+select 'v' || lpad(cast(v.page_id as varchar), 12, '0') as record_id, v.canonical, 2000000000000 - v.page_id as ts,
+  'r' || lpad(cast(r.page_id as varchar), 12, '0') as response_id, r.page_id as response_ts,
+  case when v.etag = r.etag then 'resolved' else 'mismatch' end as outcome, v.etag as etag,
+  case when v.etag = r.etag then r.size else '0' end as content_length, cast(2000000000000 - v.page_id as varchar) as date
+from urls v join last l on v.canonical = l.canonical join urls r on r.page_id = l.page_id
+"""
+
+
 # --- 10: mixing --------------------------------------------------------------------------
 
 #: Target weights: the crawl source 'src0' is cut to the weight of two others.
@@ -260,6 +329,7 @@ QUERIES: dict[str, Query] = {
     "op6_media_columns": op6_media_columns,
     "op7_license_scan": op7_license_scan,
     "op8_token_ids": op8_token_ids,
+    "op9_warc_revisits": op9_warc_revisits,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -267,5 +337,6 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
     "op3_chat_format": OP3_SQL,
     "op7_license_scan": OP7_SQL,
+    "op9_warc_revisits": OP9_SQL,
     "op10_mix_sources": OP10_SQL,
 }
