@@ -14,10 +14,12 @@ signature of more sets - a passage that many documents share, or a large group o
 copies - is *crowded*. A set whose uncrowded signatures alone exceed a third of its
 size ("safe") meets each of its partners on an uncrowded one and needs no crowded
 signature. Only sets that are not safe look into crowded signatures, and only for each
-other: all are compared with one centre; what does not link to it goes on to further
-rounds, where the triangle inequality of the Jaccard distance tells which of the
-linked ones may still link to what is left. No pair of linked sets is lost, and the
-pairs of a large group are never enumerated.
+other: all are compared with one centre, the member with the most crowded signatures.
+Members that link to it are one component. Pairs with a member that does not are
+bounded twice before they are verified: by the triangle inequality of the Jaccard
+distance to the centre, and by parity sketches, where the number of bits that differ
+never exceeds the number of features that differ. No pair of linked sets is lost, and
+pairs within a large group are compared in blocks of bounded size, never enumerated.
 
 Candidates that share too few signatures to be partners are dropped (the bound above
 again); the rest is verified on the full sets. Equal sets are one class from the start.
@@ -38,6 +40,12 @@ from .storage import Scratch, small_batches
 SHINGLE = 5
 #: A signature of more distinct sets is crowded.
 CROWD = 16
+#: Sets compared side by side in one task are two blocks of about so many.
+BLOCK_SETS = 512
+#: A parity sketch has so many bits times the power of two above the centre's size.
+SKETCH_BITS = 8
+#: A quarter, and room for the rounding of a distance.
+SLACK = 0.25 + 1e-7
 _U = np.uint64
 
 
@@ -226,60 +234,101 @@ def _features(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle:
     return rows.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, features binary").dropDuplicates(["rep"])
 
 
-def _shared(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """pairs(x, y) with the sizes of intersection and union: x, y, both, either."""
+def _parity(features: np.ndarray, bits: int) -> bytes:
+    """Bit ``h mod bits`` is the parity of the features with that remainder."""
+    bits = max(bits, 64)
+    odd = np.bincount((features & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _shared(pairs: DataFrame, features: DataFrame, *, sketch: bool = False) -> DataFrame:
+    """pairs(x, y) with the sizes of intersection and union: x, y, both, either.
+
+    With ``sketch`` also the size of y's set and its parity sketch, as long as fits x.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            both, either = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            both, either, size = (np.zeros(n, np.int64) for _ in range(3))
+            bits = []
             for i in range(n):
                 p = np.frombuffer(batch.column(2)[i].as_buffer(), _U)
                 q = np.frombuffer(batch.column(3)[i].as_buffer(), _U)
+                size[i] = len(q)
+                if sketch:
+                    bits.append(_parity(q, SKETCH_BITS << int(len(p)).bit_length()))
                 if len(p) > len(q):
                     p, q = q, p
                 if len(p):
                     at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                     both[i] = np.count_nonzero(q[at] == p)
                 either[i] = len(p) + len(q) - both[i]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(both), pa.array(either)], names=["x", "y", "both", "either"]
-            )
+            columns = [batch.column(0), batch.column(1), pa.array(both), pa.array(either)]
+            if sketch:
+                columns += [pa.array(size), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "both", "either", "size", "bits"][: len(columns)])
 
     left = features.select(F.col("rep").alias("x"), F.col("features").alias("p"))
     right = features.select(F.col("rep").alias("y"), F.col("features").alias("q"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q")
-    return joined.mapInArrow(run, "x long, y long, both long, either long")
-
-
-def _crowded_links(crowded: DataFrame, features: DataFrame, scratch: Scratch, crowd: int) -> DataFrame | None:
-    """Links among members(sig, rep) of crowded signatures, enough for their components."""
-    links, active, i = None, crowded, 0
-    while True:
-        stars = active.groupBy("sig").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members"))
-        stars = scratch.save(stars.filter("members > 1"), f"stars-{i}")
-        if stars.isEmpty():
-            return links
-        rows = active.join(stars, "sig").filter("rep <> centre")
-        pairs = rows.select(F.col("centre").alias("x"), F.col("rep").alias("y")).distinct()
-        with small_batches(features.sparkSession):
-            seen = scratch.save(_shared(pairs, features), f"round-{i}")
-        new = seen.filter("100 * both >= 75 * either").select("x", "y")
-        links = new if links is None else links.unionByName(new)
-        # distance d = 1 - both / either; a member linked to the centre (d <= 1/4) may link to
-        # one that isn't only if the two distances are no more than 1/4 apart
-        measured = rows.join(
-            seen.select(F.col("x").alias("centre"), F.col("y").alias("rep"), (1 - F.col("both") / F.col("either")).alias("d")),
-            ["centre", "rep"],
-        ).select("sig", "rep", "d")
-        measured = scratch.save(measured, f"measured-{i}")
-        left = measured.filter("d > 0.25").groupBy("sig").agg(F.min("d").alias("nearest"))
-        left = scratch.save(left, f"left-{i}")
-        if left.isEmpty():
-            return links
-        active = measured.join(left, "sig").filter("d >= nearest - 0.2500001").select("sig", "rep")
-        active = scratch.save(active, f"active-{i}")
-        i += 1
+    schema = "x long, y long, both long, either long" + (", size long, bits binary" if sketch else "")
+    return joined.mapInArrow(run, schema)
+
+
+def _near_in_block(table: pa.Table) -> pa.Table:
+    """Pairs of a block pair's members that their bounds leave open: x, y."""
+    table = table.combine_chunks()
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    block, y, d, size = (table[c].to_numpy() for c in ("block", "y", "d", "size"))
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(len(y), -1).view(_U)
+    order = np.argsort(d, kind="stable")
+    block, y, d, size, bits = block[order], y[order], d[order], size[order], bits[order]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for a in range(len(y)):
+        # those after a in distance, no more than 1/4 away, and not linked to the centre with it
+        lo = max(a + 1, int(np.searchsorted(d, 0.25, "right")))
+        hi = int(np.searchsorted(d, d[a] + SLACK, "right"))
+        if lo >= hi:
+            continue
+        b = np.arange(lo, hi)
+        if i != j:
+            b = b[block[b] != block[a]]
+        b = b[4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])]
+        if not len(b):
+            continue
+        differ = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1, dtype=np.int64)
+        b = b[7 * differ <= size[a] + size[b]]
+        found.append((np.full(len(b), y[a]), y[b]))
+    x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+    z = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+    return pa.table({"x": np.minimum(x, z), "y": np.maximum(x, z)})
+
+
+def _crowded_links(crowded: DataFrame, features: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links among members(sig, rep, weight) of crowded signatures, enough for their components."""
+    spark = features.sparkSession
+    stars = crowded.groupBy("sig").agg(
+        F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"), F.count(F.lit(1)).alias("members")
+    )
+    stars = scratch.save(stars.filter("members > 1").select("sig", "centre"), "stars")
+    pairs = crowded.join(stars, "sig").filter("rep <> centre").select(F.col("centre").alias("x"), F.col("rep").alias("y"))
+    with small_batches(spark):
+        seen = scratch.save(_shared(pairs.distinct(), features, sketch=True), "measured")
+    links = seen.filter("100 * both >= 75 * either").select("x", "y")
+    # distance d = 1 - both / either; two members may link only if theirs are 1/4 apart at most
+    measured = seen.select(F.col("x").alias("c"), "y", (1 - F.col("both") / F.col("either")).alias("d"), "size", "bits")
+    groups = measured.groupBy("c").agg(F.min(F.when(F.col("d") > 0.25, F.col("d"))).alias("nearest"), F.count(F.lit(1)).alias("n"))
+    groups = scratch.save(groups.filter("nearest is not null"), "groups").withColumnRenamed("c", "_c")
+    left = measured.join(groups, F.col("c") == F.col("_c")).filter(F.col("d") >= F.col("nearest") - SLACK)
+    blocks = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
+    left = left.withColumn("block", F.pmod(F.xxhash64("y"), blocks).cast("int")).withColumn("_blocks", blocks)
+    sent = left.select("c", "y", "d", "size", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other"))
+    sent = sent.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    near = sent.groupBy("c", "i", "j").applyInArrow(_near_in_block, "x long, y long").distinct()
+    with small_batches(spark):
+        more = scratch.save(_shared(near, features).filter("100 * both >= 75 * either").select("x", "y"), "more-links")
+    return links.unionByName(more)
 
 
 def jaccard_components(
@@ -316,7 +365,8 @@ def jaccard_components(
     ).select("rep", "size", "s.node", "s.parts").filter("parts > 0")
     crowds = met.filter("sig is not null").groupBy(F.col("x").alias("node")).agg(F.count(F.lit(1)).alias("crowded"))
     spare = sided.join(crowds, "node", "left").select(
-        "node", "rep", "size", (F.col("parts") - F.coalesce("crowded", F.lit(0))).alias("free")
+        "node", "rep", "size", F.coalesce("crowded", F.lit(0)).alias("crowded"),
+        (F.col("parts") - F.coalesce("crowded", F.lit(0))).alias("free"),
     )
     spare = scratch.save(spare, "spare")  # free: uncrowded signatures
 
@@ -333,7 +383,8 @@ def jaccard_components(
     pairs = scratch.save(pairs, "pairs")
 
     unsafe = spare.filter(F.col("free") <= F.floor(F.col("size") / 3))
-    crowded = met.filter("sig is not null").select(F.col("x").alias("node"), "sig").join(unsafe, "node").select("sig", "rep")
+    crowded = met.filter("sig is not null").select(F.col("x").alias("node"), "sig").join(unsafe, "node")
+    crowded = crowded.select("sig", "rep", F.col("crowded").alias("weight"))
     crowded = scratch.save(crowded, "crowded")
     wanted = pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep")))
     wanted = wanted.unionByName(crowded.select("rep")).distinct()
@@ -342,8 +393,7 @@ def jaccard_components(
 
     with small_batches(docs.sparkSession):
         links = scratch.save(_shared(pairs, features).filter("100 * both >= 75 * either").select("x", "y"), "links")
-    more = _crowded_links(crowded, features, scratch, crowd)
-    links = links if more is None else links.unionByName(more)
+    links = links.unionByName(_crowded_links(crowded, features, scratch))
     parts = graph.components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
     parts = scratch.save(parts, "parts")
     scratch.drop("features", "pairs", "crowded", "spare")
