@@ -68,16 +68,18 @@ def _automaton(symbols: list[int], width: int) -> np.ndarray:
 
 
 def _parser(table: np.ndarray) -> np.ndarray:
-    """Table for parsing: (next state * width) * 2 + (1 if a phrase ends before the symbol).
+    """Table for parsing: (next state * width) * 4 + phrases that end with the step.
 
     Where a phrase can't go on it ends and the symbol starts the next one; a symbol
-    that the sample lacks is a phrase by itself.
+    that the sample lacks is a phrase by itself and leads back to the start.
     """
     width = table.shape[1]
-    root = np.maximum(table[0], 0)
+    lacking = table[0] < 0
     stop = table < 0
-    goal = np.where(stop, root[None, :], table).astype(np.int64)
-    return ((goal * width) * 2 + stop).astype(np.int32).ravel()
+    goal = np.where(stop, np.maximum(table[0], 0)[None, :], table).astype(np.int64)
+    ended = stop.astype(np.int64)
+    ended[0] = 0  # there is no phrase to end at the start
+    return ((goal * width) * 4 + ended + (stop & lacking[None, :])).astype(np.int32).ravel()
 
 
 @dataclass
@@ -155,16 +157,17 @@ def count_phrases(symbols: np.ndarray, starts: np.ndarray, parsers: list[np.ndar
     alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # lanes with a t-th symbol
     padded = np.concatenate([symbols, np.zeros(1, symbols.dtype)])
     state = [np.zeros(len(owner), np.int32) for _ in parsers]
-    count = [np.ones(len(owner), np.int32) for _ in parsers]  # the last phrase of a block
+    count = [np.zeros(len(owner), np.int32) for _ in parsers]
     for t, lanes in enumerate(alive):
         symbol = padded[begin[:lanes] + t].astype(np.int32)
         for k, parser in enumerate(parsers):
             got = parser[state[k][:lanes] + symbol]
-            count[k][:lanes] += got & 1
-            np.right_shift(got, 1, out=state[k][:lanes])
+            count[k][:lanes] += got & 3
+            np.right_shift(got, 2, out=state[k][:lanes])
     out = np.zeros((len(sizes), len(parsers)), np.int64)
     for k in range(len(parsers)):
-        out[:, k] = np.bincount(owner, count[k], len(sizes)).astype(np.int64)
+        open_phrase = state[k] > 0
+        out[:, k] = np.bincount(owner, count[k] + open_phrase, len(sizes)).astype(np.int64)
     return out
 
 
