@@ -125,7 +125,7 @@ KNOWN_NOTICES: dict[str, tuple[str, ...]] = {
 }
 
 #: The tables of known digests are broadcast; they may have so many rows at most.
-MAX_KNOWN = 100_000
+MAX_KNOWN = 10_000
 
 
 def canonical(text: Column) -> Column:
@@ -145,7 +145,8 @@ def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]]) ->
     rows = [(name, text) for name, texts in known.items() for text in texts]
     if len(rows) > MAX_KNOWN:
         raise ValueError(f"at most {MAX_KNOWN} known texts, got {len(rows)}")
-    table = spark.createDataFrame(rows, "license string, body string")
+    items = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("body")) for name, text in rows]
+    table = spark.range(1).select(F.explode(F.array(*items)).alias("item")).select("item.license", "item.body")
     return table.groupBy(digest(F.col("body")).alias("known_digest")).agg(
         F.min("license").alias("license")
     )

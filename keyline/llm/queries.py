@@ -76,9 +76,11 @@ HOSTILE_ID = -7
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hostile = spark.createDataFrame(
-        [(HOSTILE_ID, 0, "user", HOSTILE_TEXT), (HOSTILE_ID, 1, "assistant", HOSTILE_TEXT)],
-        "conv_id long, turn long, role string, text string",
+    hostile = spark.range(2).select(
+        F.lit(HOSTILE_ID).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(HOSTILE_TEXT).alias("text"),
     )
     both = rows.unionByName(hostile)
     parts = both.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
