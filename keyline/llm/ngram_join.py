@@ -41,7 +41,7 @@ SHINGLE = 5
 #: A signature of more distinct sets is crowded.
 CROWD = 16
 #: Sets compared side by side in one task are two blocks of about so many.
-BLOCK_SETS = 512
+BLOCK_SETS = 256
 #: A parity sketch has so many bits times the power of two above the centre's size.
 SKETCH_BITS = 8
 #: A quarter, and room for the rounding of a distance.
