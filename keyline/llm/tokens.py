@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch
 
-#: Distinct words that a worker process remembers; then it starts afresh.
-CACHE_WORDS = 400_000
+#: Distinct words and pieces that a worker process remembers; then it starts afresh.
+CACHE_WORDS, CACHE_PIECES = 150_000, 600_000
+
+#: Words of printable ASCII and Latin letters without special lower-case forms.
+PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
 
 #: Options of the writer: v2 pages give DELTA_BINARY_PACKED integers.
 DELTA = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
@@ -34,31 +38,88 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Encodes texts word by word, remembering words.
+    """Encodes texts word by word, remembering words and their pieces.
 
     The tokenizer's pre-tokens never reach over white space, and its normaliser
     (NFC, white-space folding, lower case) works on either side of it alone. So the
     ids of a text are those of its runs of non-blank characters in order, and each
     distinct run needs the library only once. Splitting at ASCII blanks alone is
     enough: other white space stays inside a run, which the library then splits.
-    :meth:`WordEncoder.check` verifies this for a tokenizer file.
+    :meth:`WordEncoder.check` verifies this for a tokenizer file; else whole texts are
+    encoded.
+
+    A run of plain letters and signs (``PLAIN``, where every Unicode version agrees) is
+    cut into pre-tokens by the file's own pattern; the library's model encodes those
+    not met before, so that it meets 'the', 'The' and 'the,' once.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = self.check()
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.pattern = self._piece_pattern()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.by_word = self.check()
+
+    def _piece_pattern(self):
+        """The pre-token pattern, if the file's pipeline is lower case, split, byte level."""
+        import json
+
+        import regex
+
+        said = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
+        cut = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cut] != ["Split", "ByteLevel"]:
+            return None
+        split, level = cut
+        plain = split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+        return regex.compile(split["pattern"]["Regex"]) if plain and "Regex" in split["pattern"] else None
 
     def check(self) -> bool:
         """Whether words can be encoded one by one, tried on a probe of hard cases."""
-        probe = "Ab c'd  é\n\tΑΣ ΣΑ 12,3 x <|y|> ́z ß"
+        probe = "Ab c'd  é\n\tΑΣ ΣΑ 12,3 x <|y|> \u0301z ß It's ÀÉ×÷ŉ a__b the, End. Ça. x, ''S l'été I\u0307 \u0130"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         words = [w for w in re.split("[ \t\n\r]+", probe) if w]
-        apart = [i for w in words for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        return whole == apart
+        self._learn(words)
+        return b"".join(self.known[w] for w in words) == np.asarray(whole, "<i4").tobytes()
+
+    def _cut(self, words: list[str]) -> tuple[dict[str, list[str]], list[str]]:
+        """Pre-tokens of plain words, and the other words."""
+        plain, other, find = {}, [], self.pattern.findall
+        for w in words:
+            if not w.isascii() and not PLAIN.fullmatch(w):
+                other.append(w)
+            elif w.isalpha():  # one run of letters, whatever follows an apostrophe
+                plain[w] = [w.lower()]
+            elif w[-1:] in (",", ".") and w[:-1].isalpha():
+                plain[w] = [w[:-1].lower(), w[-1]]
+            elif "<|" in w or not PLAIN.fullmatch(w):
+                other.append(w)
+            else:
+                plain[w] = find(w.lower())
+        return plain, other
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of new words."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        plain, other = {}, words
+        if self.pattern is not None:
+            plain, other = self._cut(words)
+        new = list({p for found in plain.values() for p in found if p not in self.pieces})
+        form = [p if p.isascii() else self.to_bytes.pre_tokenize_str(p)[0][0] for p in new]
+        for encoder, texts, names, into in ((self.model, form, new, self.pieces), (self.tokenizer, other, other, self.known)):
+            for i in range(0, len(texts), 4096):
+                found = encoder.encode_batch(texts[i : i + 4096], add_special_tokens=False)
+                into.update(zip(names[i : i + 4096], [array("i", e.ids).tobytes() for e in found], strict=True))
+        pieces = self.pieces
+        for w, found in plain.items():
+            self.known[w] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian int32 ids of each text."""
@@ -66,14 +127,11 @@ class WordEncoder:
             found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             return [np.asarray(e.ids, "<i4").tobytes() for e in found]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self._learn([w for w in words if w not in self.known])
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        missing = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<i4").tobytes()
         return [b"".join([known[w] for w in words]) for words in split]
 
 
