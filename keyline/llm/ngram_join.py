@@ -356,6 +356,7 @@ def jaccard_components(
     )
     classes = scratch.save(classes, "classes")
     met = scratch.save(_meet(_signature_rows(docs, text, shingle), crowd), "met")
+    scratch.free()
 
     sided = classes.select(
         "rep", "size", F.explode(F.array(
@@ -397,6 +398,7 @@ def jaccard_components(
     parts = graph.components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
     parts = scratch.save(parts, "parts")
     scratch.drop("features", "pairs", "crowded", "spare")
+    scratch.free()
 
     parts = parts.withColumnRenamed("node", "_rep")
     named = classes.join(parts, F.col("rep") == F.col("_rep"), "left").select(

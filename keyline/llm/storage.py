@@ -8,6 +8,7 @@ absent (unit tests, a local shell) is a temporary folder chosen here.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now: it does so when the
+        driver's garbage is collected, which may be long after a large shuffle."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
