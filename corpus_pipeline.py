@@ -32,11 +32,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each component of linked documents."""
-    parts = ngram_join.jaccard_components(docs)
-    stay = parts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Keep the document with the least id of each component of linked documents.
+
+    Of rows that repeat an id one stays. Rows without an id can't be named as copies
+    of others and stay.
+    """
+    parts = ngram_join.jaccard_components(docs.filter(F.col("doc_id").isNotNull()))
+    stay = parts.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    # the join deals the texts by doc_id, and so serves the second step too
+    kept = docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
