@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
+from .words import groups
 
 #: Distinct words and pieces that a worker process remembers; then it starts afresh.
 CACHE_WORDS, CACHE_PIECES = 150_000, 600_000
@@ -45,6 +47,8 @@ class WordEncoder:
     ids of a text are those of its runs of non-blank characters in order, and each
     distinct run needs the library only once. Splitting at ASCII blanks alone is
     enough: other white space stays inside a run, which the library then splits.
+    Arrow splits the texts and numbers their distinct words, so Python sees each word
+    of a block once.
     :meth:`WordEncoder.check` verifies this for a tokenizer file; else whole texts are
     encoded.
 
@@ -121,18 +125,42 @@ class WordEncoder:
         for w, found in plain.items():
             self.known[w] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian int32 ids of each text."""
+    def encode_column(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with ``end_id`` behind it, and the
+        number of ids of each text. Null is empty."""
+        if column.null_count:
+            column = column.fill_null("")
+        tail = np.zeros(0, "<i4") if end_id is None else np.array([end_id], "<i4")
         if not self.by_word:
-            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [np.asarray(e.ids, "<i4").tobytes() for e in found]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*split)
+            found = self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)
+            each = [np.concatenate([np.asarray(e.ids, "<i4"), tail]) for e in found]
+            return np.concatenate([np.zeros(0, "<i4"), *each]), np.array([len(e) for e in each], np.int64)
+        split = pc.ascii_split_whitespace(column)
+        where = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(where[0], where[-1] - where[0]).dictionary_encode()
+        where -= where[0]
+        words = coded.dictionary.to_pylist()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        self._learn([w for w in words if w not in self.known])
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        self._learn([w for w in words if w not in known])
+        raw = [known[w] for w in words]
+        raw.append(tail.tobytes())
+        ids = np.frombuffer(b"".join(raw), "<i4")
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        first = np.cumsum(size) - size
+        # the words of each text, and one more for its end
+        word = np.insert(coded.indices.to_numpy().astype(np.int64), where[1:], len(words))
+        size = size[word]
+        at = np.arange(size.sum()) + np.repeat(first[word] - (np.cumsum(size) - size), size)
+        total = np.concatenate([[0], np.cumsum(size)])[where + np.arange(len(where))]
+        return ids[at], np.diff(total)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian int32 ids of each text."""
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes).tolist()
+        return [ids[b - n : b].tobytes() for b, n in zip(ends, sizes.tolist(), strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -141,42 +169,24 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _blocks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``most`` characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_rows(docs: DataFrame, tokenizer: str, *, end_id: int, key: str, text: str) -> DataFrame:
     """(part, seq, key, n_tokens, ids) of rows as they lie in their partitions."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer), np.array([end_id], "<i4").tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _blocks(texts, 2_000_000):
-                raw = [x + tail for x in enc.encode(texts[a:b])]
-                sizes = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+            for a, b in groups(batch.column(1)):
+                ids, sizes = enc.encode_column(batch.column(1).slice(a, b - a), end_id)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
-                )
-                n = len(raw)
+                n = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, part, np.int32)),
                         pa.array(np.arange(seq, seq + n)),
-                        batch.column(0).slice(a, b - a).cast(pa.int64()),
+                        batch.column(0).slice(a, n).cast(pa.int64()),
                         pa.array(sizes),
-                        ids,
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
                     ],
                     names=["part", "seq", key, "n_tokens", "ids"],
                 )
