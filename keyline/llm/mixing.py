@@ -28,34 +28,41 @@ def unit_interval(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(_UNIT)
 
 
-def poisson_count(u: Column, rate: Column) -> Column:
-    """Smallest k with P(Poisson(rate) <= k) > u.
+def poisson_parts(rate: Column) -> Column:
+    """Rates over 600 are drawn in equal parts no larger, because exp(-rate) would underflow."""
+    return F.greatest(F.ceil(rate / 600.0), F.lit(1)).cast("int")
+
+
+def poisson_table(rate: Column) -> Column:
+    """P(Poisson(rate / parts) <= k) for k = 0, 1, ...: the distribution function as an array.
 
-    The cumulative sum runs over ``rate + 12 * sqrt(rate) + 30`` terms, beyond
-    which a double holds no more probability. Rates over 600 are split into equal
-    parts no larger than 600 because exp(-rate) would underflow; their counts add
-    up with one uniform number per part, derived by a fixed rotation of ``u``.
-    A null or non-positive rate gives 0.
+    It has ``m + 12 * sqrt(m) + 30`` entries for mean m, beyond which a double holds no
+    more probability.
     """
-    parts = F.greatest(F.ceil(rate / 600.0), F.lit(1)).cast("int")
-    lam = rate / parts
+    mean = rate / poisson_parts(rate)
+    last = F.ceil(mean + 12.0 * F.sqrt(mean) + 30.0).cast("int")
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("all"))
 
-    def one(x: Column) -> Column:
-        last = F.ceil(lam + 12.0 * F.sqrt(lam) + 30.0).cast("int")
-        start = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0).alias("k"))
+    def step(acc: Column, i: Column) -> Column:
+        p = acc["p"] * mean / i
+        c = acc["c"] + p
+        return F.struct(p.alias("p"), c.alias("c"), F.concat(acc["all"], F.array(c)).alias("all"))
 
-        def step(acc: Column, i: Column) -> Column:
-            p = acc["p"] * lam / i
-            return F.when(acc["c"] > x, acc).otherwise(
-                F.struct(p.alias("p"), (acc["c"] + p).alias("c"), i.cast("int").alias("k"))
-            )
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"]))
 
-        return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
 
-    turns = F.sequence(F.lit(0), parts - 1)
-    shifted = lambda j: (u + j * F.lit(0.6180339887498949)) % 1.0
-    total = F.aggregate(turns, F.lit(0), lambda acc, j: acc + one(shifted(j)))
-    return F.when(rate > 0, total).otherwise(F.lit(0))
+def poisson_draw(u: Column, table: Column, parts: Column) -> Column:
+    """Smallest k with P(k) > u, for each part; parts turn ``u`` by a fixed amount. A null
+    table (no positive rate) gives 0."""
+    one = lambda x: F.size(F.filter(table, lambda c: c <= x))
+    turned = lambda j: one((u + j * F.lit(0.6180339887498949)) % 1.0)
+    more = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda acc, j: acc + turned(j))
+    return F.when(table.isNull(), F.lit(0)).when(parts == 1, one(u)).otherwise(more)
+
+
+def poisson_count(u: Column, rate: Column) -> Column:
+    """A Poisson number with mean ``rate``, by inversion at ``u``."""
+    return poisson_draw(u, poisson_table(rate), poisson_parts(rate))
 
 
 def source_rates(
@@ -65,7 +72,7 @@ def source_rates(
     source: str,
     default_weight: float,
 ) -> DataFrame:
-    """One row per source (null is a source of its own): rows, weight, repetition rate."""
+    """One row per source (null is a source of its own): its repetition rate and Poisson table."""
     rows = docs.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("_rows"))
     weight = F.lit(float(default_weight))
     for name, value in (weights or {}).items():
@@ -76,10 +83,12 @@ def source_rates(
     )
     wanted = F.lit(int(target_rows)) if target_rows is not None else F.col("_all_rows")
     # one row of totals: the other side of this join has exactly one row
-    return rows.join(F.broadcast(total)).select(
+    rates = rows.join(F.broadcast(total)).select(
         "_source",
         (F.col("_weight") / F.col("_all_weight") * wanted / F.col("_rows")).alias("_rate"),
     )
+    # once per source, so that a document only looks up its number
+    return rates.select("*", poisson_table(F.col("_rate")).alias("_table"), poisson_parts(F.col("_rate")).alias("_parts"))
 
 
 def mix(
@@ -111,7 +120,7 @@ def mix(
     rates = source_rates(docs, weights, target_rows, source, default_weight)
     ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn(
-        "_count", poisson_count(unit_interval(seed, "count", ident), F.col("_rate"))
+        "_count", poisson_draw(unit_interval(seed, "count", ident), F.col("_table"), F.col("_parts"))
     )
     copies = drawn.filter(F.col("_count") > 0).select(
         *[docs[c] for c in docs.columns],
