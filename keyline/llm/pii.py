@@ -42,8 +42,8 @@ SYLLABLES = {
 
 _NAME = r"\p{Lu}[\p{L}'-]{1,30}"
 _TITLE = "|".join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES))
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = r"""(?<=(?i:token|secret|api_key|apikey|password)["']?\s{0,3}[=:]\s{0,3}["'])[A-Za-z0-9_/+-]{16,256}(?=["'])"""
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+SECRET = r"""(?i:token|secret|api_key|apikey|password)["']?\s{0,3}[=:]\s{0,3}["'][A-Za-z0-9_/+-]{16,256}["']"""
 SSN = r"(?<![\d.-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.+-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
@@ -54,6 +54,9 @@ PHONE = (
 PERSON = rf"\b(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?"
 ENTITY = "|".join((EMAIL, SECRET, SSN, CARD, IP, PHONE, PERSON))
 
+#: What every entity has one of: a cheap test that spares most texts the pattern.
+HINTS = (r"[0-9@]", rf"\b(?:{_TITLE})\b\.? \p{{Lu}}", r"""["'][A-Za-z0-9_/+-]{16}""")
+
 #: Attempts to draw a surrogate that no other value has.
 MOST_ATTEMPTS = 40
 
@@ -80,13 +83,13 @@ def classify(value: Column) -> Column:
     card = value.rlike(rf"^(?:{CARD})$") & digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)") & (luhn_sum(digits) % 10 == 0)
     ip = F.forall(F.split(value, r"\."), lambda x: x.try_cast("int") <= 255)
     return (
-        F.when(value.rlike("@"), F.lit("email"))
+        F.when(value.rlike("""["']$"""), F.lit("secret"))
+        .when(value.rlike("@"), F.lit("email"))
         .when(value.rlike(rf"^(?:{_TITLE})\b"), F.lit("person"))
         .when(value.rlike(rf"^(?:{SSN})$"), F.lit("ssn"))
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.when(ip, F.lit("ip")))
         .when(value.rlike(r"^\d[\d -]*\d$") & digits.rlike(r"^\d{15,16}$"), F.when(card, F.lit("card")))
         .when(value.rlike(r"^[+(\d][\d ().+-]*$"), F.lit("phone"))
-        .otherwise(F.lit("secret"))
     )
 
 
@@ -203,26 +206,40 @@ def _person(value: Column, key: str, attempt: Column) -> Column:
     return F.when(F.size(words) > 2, F.concat_ws(" ", title, given, last)).otherwise(F.concat_ws(" ", title, last))
 
 
-def surrogate(value: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity at an attempt; what is no entity stays."""
-    kind = classify(value)
-    plain = lambda name, **kw: reshape(value, _Stream(key, name, value, attempt), **kw)
+def _secret(value: Column, key: str, attempt: Column) -> Column:
+    """The part in quotes is replaced; what names it stays."""
+    form = r"""^(.*["'])([A-Za-z0-9_/+-]{16,256})(["'])$"""
+    inner = F.regexp_extract(value, form, 2)
+    stream = _Stream(key, "secret", inner, attempt)
+    made = F.when(inner.rlike("^[0-9a-fA-F]+$"), reshape(inner, stream, hexadecimal=True)).otherwise(reshape(inner, stream))
+    return F.concat(F.regexp_extract(value, form, 1), made, F.regexp_extract(value, form, 3))
+
+
+def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
+    """The surrogate of an entity at an attempt; what is no entity (null kind) stays."""
     return (
         F.when(kind == "email", _email(value, key, attempt))
         .when(kind == "phone", _phone(value, key, attempt))
         .when(kind == "ip", _ip(value, key, attempt))
         .when(kind == "card", _card(value, key, attempt))
-        .when(kind == "ssn", plain("ssn"))
+        .when(kind == "ssn", reshape(value, _Stream(key, "ssn", value, attempt)))
         .when(kind == "person", _person(value, key, attempt))
-        .when((kind == "secret") & value.rlike("^[0-9a-fA-F]+$"), plain("secret", hexadecimal=True))
-        .when(kind == "secret", plain("secret"))
+        .when(kind == "secret", _secret(value, key, attempt))
         .otherwise(value)
     )
 
 
+def hinted(text: Column) -> Column:
+    """Whether a text may hold an entity; false for null."""
+    found = F.lit(False)
+    for hint in HINTS:
+        found = found | text.rlike(hint)
+    return F.coalesce(found, F.lit(False))
+
+
 def matches(text: Column) -> Column:
-    """All matches of the pattern in order, valid or not."""
-    return F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
+    """All matches of the pattern in order, valid or not; null for a text without a hint."""
+    return F.when(hinted(text), F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)))
 
 
 def exceptions(docs: DataFrame, *, key: str, text: str, scratch: Scratch, draw=surrogate) -> DataFrame | None:
@@ -231,10 +248,15 @@ def exceptions(docs: DataFrame, *, key: str, text: str, scratch: Scratch, draw=s
     Values keep their surrogate by order of value; the others try again, against all
     surrogates given so far and all values in the table.
     """
-    found = docs.filter(F.col(text).rlike(ENTITY)).select(F.explode(F.array_distinct(matches(F.col(text)))).alias("value"))
-    values = scratch.save(found.filter(classify(F.col("value")).isNotNull()).distinct(), "values")
+    found = docs.filter(hinted(F.col(text))).select(F.explode(F.array_distinct(matches(F.col(text)))).alias("value"))
+    values = found.distinct().withColumn("kind", classify(F.col("value"))).filter("kind is not null")
+    values = scratch.save(values, "values")
     real = values.select(F.col("value").alias("made"))
-    given = values.select(draw(F.col("value"), key, F.lit(0)).alias("made"), "value")
+
+    def drawn(rows: DataFrame, attempt: int) -> DataFrame:
+        return rows.select(draw(F.col("value"), F.col("kind"), key, F.lit(attempt)).alias("made"), "value", "kind")
+
+    given = drawn(values, 0)
     given = scratch.save(given, "given-0")
 
     def settled(rows: DataFrame, taken: DataFrame) -> DataFrame:
@@ -245,11 +267,11 @@ def exceptions(docs: DataFrame, *, key: str, text: str, scratch: Scratch, draw=s
     kept = scratch.save(settled(given, real), "kept-0")
     out = None
     for attempt in range(1, MOST_ATTEMPTS):
-        left = given.join(kept.select("value"), "value", "left_anti").select("value")
+        left = given.join(kept.select("value"), "value", "left_anti").select("value", "kind")
         left = scratch.save(left, f"left-{attempt}")
         if left.isEmpty():
             return out
-        given = scratch.save(left.select(draw(F.col("value"), key, F.lit(attempt)).alias("made"), "value"), f"given-{attempt}")
+        given = scratch.save(drawn(left, attempt), f"given-{attempt}")
         now = settled(given, real.unionByName(kept.select("made")))
         now = scratch.save(now, f"now-{attempt}")
         mark = now.select("value", F.lit(attempt).alias("attempt"))
@@ -275,21 +297,23 @@ def replace_pii(
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     special = exceptions(docs, key=secret_key, text=text, scratch=scratch, draw=draw)
     body = F.col(text)
-    rows = docs.withColumn("_found", F.when(body.rlike(ENTITY), matches(body)))
+    typed = F.transform(matches(body), lambda v: F.struct(v.alias("value"), classify(v).alias("kind")))
+    rows = docs.withColumn("_found", typed)
     if special is None:
         rows = rows.withColumn("_again", F.lit(None).cast("map<string,int>"))
     else:
-        held = docs.filter(body.rlike(ENTITY)).select(F.col(key).alias("_key"), F.explode(matches(body)).alias("value"))
+        held = docs.filter(hinted(body)).select(F.col(key).alias("_key"), F.explode(matches(body)).alias("value"))
         again = held.join(special, "value").groupBy("_key").agg(
             F.map_from_entries(F.collect_set(F.struct("value", "attempt"))).alias("_again")
         )
         again = scratch.save(again, "again")
         rows = rows.join(again, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     attempt = lambda v: F.coalesce(F.element_at("_again", v), F.lit(0)) if special is not None else F.lit(0)
-    made = F.transform("_found", lambda v: draw(v, secret_key, attempt(v)))
+    made = F.transform("_found", lambda e: draw(e["value"], e["kind"], secret_key, attempt(e["value"])))
     pieces = F.split(body, ENTITY, -1)
     joined = F.array_join(F.zip_with(pieces, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    types = F.filter(F.transform("_found", classify), lambda t: t.isNotNull())
-    columns = [F.when(F.col("_found").isNull(), body).otherwise(joined).alias(text) if c == text else docs[c] for c in docs.columns]
+    types = F.filter(F.transform("_found", lambda e: e["kind"]), lambda t: t.isNotNull())
+    columns = [F.when(F.size("_found") > 0, joined).otherwise(body).alias(text) if c == text else docs[c] for c in docs.columns]
+    # without a match the pattern is not run again to cut the text
     none = F.when(body.isNotNull(), F.array().cast("array<string>"))
     return rows.select(*columns, F.coalesce(types, none).alias("pii_types"))
