@@ -9,11 +9,16 @@ known one-line notices, so that a grant inside a longer file is reported too.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_HERE = Path(__file__).parent
+
 #: Lines that start so carry names and years, which differ between copies.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
 
@@ -87,53 +92,157 @@ freely, subject to the following restrictions:
    misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+def _whole_texts() -> dict[str, tuple[str, ...]]:
+    """Every file of ``licence_texts`` (ID.txt or ID.VARIANT.txt), with and without what
+    follows its terms, besides the short texts above, each with its usual titles."""
+    out: dict[str, list[str]] = {
+        "MIT": [_MIT, "MIT License\n" + _MIT, "The MIT License\n" + _MIT, "The MIT License (MIT)\n" + _MIT],
+        "ISC": [_ISC, "ISC License\n" + _ISC, "The ISC License\n" + _ISC],
+        "Apache-2.0": [_APACHE_HEADER],
+        "Zlib": [_ZLIB, "zlib License\n" + _ZLIB, "The zlib License\n" + _ZLIB],
+    }
+    for path in sorted((_HERE / "licence_texts").glob("*.txt")):
+        name = path.name.removesuffix(".txt").removesuffix(".spdx")
+        body = path.read_text(encoding="utf-8")
+        forms = out.setdefault(name, [])
+        forms.append(body)
+        end = body.find(_END)
+        if end >= 0:
+            forms += [body[:end], body[: end + len(_END)]]
+        forms += [f"{title}\n{body}" for title in _TITLES.get(name, ())]
+    return {name: tuple(dict.fromkeys(forms)) for name, forms in out.items()}
+
+
+_END = "END OF TERMS AND CONDITIONS"
+_TITLES = {
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International",),
+}
+
 #: Whole licence texts, by name (public texts, fixed values).
-KNOWN_TEXTS: dict[str, tuple[str, ...]] = {
-    "MIT": (_MIT, "MIT License\n" + _MIT, "The MIT License (MIT)\n" + _MIT),
-    "ISC": (_ISC, "ISC License\n" + _ISC),
-    "Apache-2.0": (_APACHE_HEADER,),
-    "Zlib": (_ZLIB, "zlib License\n" + _ZLIB),
+KNOWN_TEXTS: dict[str, tuple[str, ...]] = _whole_texts()
+
+#: How a notice begins; a name of a licence follows.
+_VERBS = ("licensed", "released", "distributed", "available")
+_SUBJECTS = ("", *(f"this {x} is " for x in ("work", "software", "program", "project", "file", "document", "code", "content")))
+_LEADS = (
+    *(f"{subject}{verb} under " for subject in _SUBJECTS for verb in _VERBS),
+    *(f"{subject}{verb} under the terms of " for subject in _SUBJECTS[:4] for verb in _VERBS[:3]),
+)
+
+
+def _gnu(short: str, full: str, version: str) -> dict[str, tuple[str, ...]]:
+    """Names of a GNU licence; without 'or later' the very version."""
+    major = version.removesuffix(".0")
+    forms = [f"the {full}, version {v}" for v in dict.fromkeys((major, version))]
+    forms += [f"the {full} v{v}" for v in dict.fromkeys((major, version))]
+    forms += [f"the {short}v{major}", f"the {short} v{major}", f"{short}-{version}", f"{short}v{major}"]
+    later = [f"the {full}, version {major} or later", f"the {full}, version {major}, or (at your option) any later version", f"the {full} v{major} or later"]
+    return {f"{short}-{version}": tuple(forms), f"{short}-{version}-or-later": (*later, f"{short}-{version}-or-later")}
+
+
+_CC = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
 }
 
-#: One-line notices, by name (fixed values).
-KNOWN_NOTICES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "SPDX-License-Identifier: MIT",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Released under the Apache License, Version 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "BSD-3-Clause": (
-        "Released under the BSD 3-Clause License.",
-        "Licensed under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ),
-    "GPL-3.0": (
-        "Licensed under the GNU General Public License, Version 3.",
-        "Released under the GNU General Public License v3.0.",
-        "SPDX-License-Identifier: GPL-3.0-only",
-    ),
-    "CC-BY-4.0": (
-        "Licensed under a Creative Commons Attribution 4.0 International License.",
-        "Licensed under CC BY 4.0.",
-        "SPDX-License-Identifier: CC-BY-4.0",
+
+def _creative_commons(kind: str, version: str) -> tuple[str, ...]:
+    area = "International" if version == "4.0" else "Unported"
+    short, full = f"CC {kind} {version}", f"Creative Commons {_CC[kind]} {version}"
+    forms = (short, f"{full} {area} license", f"a {full} {area} license", f"the {full} {area} license")
+    return forms if version == "3.0" else (*forms, f"the {short} license", f"the {full} license", f"Creative Commons {kind} {version}")
+
+
+def _names() -> dict[str, tuple[str, ...]]:
+    """The names by which notices call a licence, in all their usual forms."""
+    out: dict[str, tuple[str, ...]] = {
+        "MIT": ("the MIT license", "MIT license", "MIT", "an MIT license", "the MIT license (MIT)"),
+        "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 license", "Apache License 2.0", "Apache 2.0", "Apache License, Version 2.0", "the Apache 2 license", "the Apache License v2.0"),
+        "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License", "BSD 2-Clause", "the Simplified BSD License"),
+        "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License", "BSD 3-Clause", "the New BSD License", "the Modified BSD License", "a BSD 3-Clause License"),
+        "0BSD": ("the Zero-Clause BSD License", "the BSD Zero Clause License", "0BSD"),
+        "ISC": ("the ISC License", "ISC"),
+        "Zlib": ("the zlib License", "zlib"),
+        "BSL-1.0": ("the Boost Software License, Version 1.0", "the Boost Software License 1.0", "the Boost Software License"),
+        "MPL-1.1": ("the Mozilla Public License, Version 1.1", "the Mozilla Public License 1.1", "the MPL 1.1"),
+        "MPL-2.0": ("the Mozilla Public License, Version 2.0", "the Mozilla Public License, v. 2.0", "the Mozilla Public License 2.0", "the MPL 2.0", "MPL 2.0"),
+        "EPL-1.0": ("the Eclipse Public License, Version 1.0", "the Eclipse Public License 1.0", "the Eclipse Public License v1.0"),
+        "EPL-2.0": ("the Eclipse Public License, Version 2.0", "the Eclipse Public License 2.0", "the Eclipse Public License v2.0"),
+        "CDDL-1.0": ("the Common Development and Distribution License, Version 1.0", "the CDDL 1.0"),
+        "EUPL-1.2": ("the European Union Public Licence, Version 1.2", "the EUPL 1.2", "the EUPL v1.2"),
+        "Artistic-2.0": ("the Artistic License 2.0", "the Artistic License, Version 2.0"),
+        "Unlicense": ("the Unlicense",),
+        "WTFPL": ("the WTFPL",),
+        "CC0-1.0": ("CC0 1.0", "CC0", "CC0 1.0 Universal", "the CC0 1.0 Universal license", "the Creative Commons CC0 1.0 Universal license"),
+        "OFL-1.1": ("the SIL Open Font License, Version 1.1", "the SIL Open Font License 1.1"),
+        "GFDL-1.2": ("the GNU Free Documentation License, Version 1.2",),
+        "GFDL-1.3": ("the GNU Free Documentation License, Version 1.3", "the GNU Free Documentation License 1.3"),
+        "ODbL-1.0": ("the Open Database License", "the Open Database License (ODbL) v1.0", "the ODbL"),
+    }
+    for short, full, versions in (
+        ("GPL", "GNU General Public License", ("2.0", "3.0")),
+        ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")),
+        ("AGPL", "GNU Affero General Public License", ("3.0",)),
+    ):
+        for version in versions:
+            out.update(_gnu(short, full, version))
+    out["CC-BY-4.0"] = ("a Creative Commons Attribution 4.0 International License",)
+    for kind in _CC:
+        for version in ("4.0", "3.0"):
+            out[f"CC-{kind}-{version}"] = _creative_commons(kind, version)
+    return out
+
+
+#: Notices that don't name the licence after a lead-in.
+_SENTENCES = {
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was"
+        " not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    "CC-BY-4.0": ("SPDX-License-Identifier: CC-BY-4.0",),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
 }
 
+
+def _all_notices() -> dict[str, tuple[str, ...]]:
+    """Every name after every lead-in, and the SPDX tag of every id of the public list."""
+    out = {name: [lead + form for lead in _LEADS for form in forms] for name, forms in _names().items()}
+    for name, lines in _SENTENCES.items():
+        out.setdefault(name, []).extend(lines)
+    for spdx in (_HERE / "spdx_ids.txt").read_text(encoding="ascii").split():
+        if spdx.endswith("+"):
+            continue  # its canonical form is that of the id without the plus
+        name = spdx.removesuffix("-only")  # GPL-3.0 and GPL-3.0-only are one
+        out.setdefault(name, []).append(f"SPDX-License-Identifier: {spdx}")
+    return {name: tuple(dict.fromkeys(lines)) for name, lines in out.items()}
+
+
+#: One-line notices, by name (fixed values).
+KNOWN_NOTICES: dict[str, tuple[str, ...]] = _all_notices()
+
 #: The tables of known digests are broadcast; they may have so many rows at most.
 MAX_KNOWN = 10_000
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null stays null, a text without letters or digits is ''."""
+def _canonical_lines(text: Column) -> Column:
+    """The text whose lines, trimmed, are the canonical forms of its lines."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     for spelling, one in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(one))
-    return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
+    return F.regexp_replace(out, r"[^a-z0-9\n]+", " ")
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form; null stays null, a text without letters or digits is ''."""
+    return F.trim(F.regexp_replace(_canonical_lines(text), r"[^a-z0-9]+", " "))
 
 
 def digest(text: Column) -> Column:
@@ -145,10 +254,10 @@ def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]]) ->
     rows = [(name, text) for name, texts in known.items() for text in texts]
     if len(rows) > MAX_KNOWN:
         raise ValueError(f"at most {MAX_KNOWN} known texts, got {len(rows)}")
-    items = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("body")) for name, text in rows]
-    table = spark.range(1).select(F.explode(F.array(*items)).alias("item")).select("item.license", "item.body")
+    columns = {"license": [name for name, _ in rows], "body": [text for _, text in rows]}
+    table = spark.createDataFrame(pa.table(columns, pa.schema({"license": pa.string(), "body": pa.string()})))
     return table.groupBy(digest(F.col("body")).alias("known_digest")).agg(
-        F.min("license").alias("license")
+        F.min("license").alias("license"), F.min(canonical(F.col("body"))).alias("form")
     )
 
 
@@ -169,26 +278,31 @@ def scan_licenses(
     digest shared by a third of all rows moves nothing.
     """
     spark = docs.sparkSession
-    texts = known_digests(spark, KNOWN_TEXTS if known is None else known)
-    lines = known_digests(spark, KNOWN_NOTICES if notices is None else notices)
-    # one row with the notices' digests: at most MAX_KNOWN entries
-    notice_map = lines.agg(
-        F.map_from_entries(F.collect_list(F.struct("known_digest", "license"))).alias("_notices")
-    )
+    texts = known_digests(spark, KNOWN_TEXTS if known is None else known).drop("form")
+    # at most MAX_KNOWN rows; they become one constant, so that no row carries them
+    lines = known_digests(spark, KNOWN_NOTICES if notices is None else notices).filter("form <> ''").collect()
+    by_prefix: dict[str, dict[str, str]] = {}
+    for r in lines:
+        by_prefix.setdefault(r["known_digest"][:2], {})[r["known_digest"]] = r["license"]
+    table = F.from_json(F.lit(json.dumps(by_prefix)), "map<string,map<string,string>>")
+    longest = max((len(r["form"]) for r in lines), default=0)
+    first_words = sorted({r["form"].split(" ", 1)[0] for r in lines})
+
+    def name_of(form: Column) -> Column:
+        key = F.sha2(form, 256)
+        return F.element_at(F.element_at(table, F.substring(key, 1, 2)), key)
+
+    # no notice is longer or begins otherwise, so nothing is lost
+    forms = F.transform(F.split(F.col("_lines"), "\n"), lambda x: F.trim(x))
     candidate = F.filter(
-        F.split(F.col("_text"), "\n"), lambda x: F.lower(x).rlike("licen|spdx|copyright")
+        forms, lambda x: (F.char_length(x) <= longest) & F.substring_index(x, " ", 1).isin(first_words)
     )
     found = F.array_sort(
-        F.array_distinct(
-            F.filter(
-                F.transform(candidate, lambda x: F.element_at("_notices", digest(x))),
-                lambda x: x.isNotNull(),
-            )
-        )
+        F.array_distinct(F.filter(F.transform(candidate, name_of), lambda x: x.isNotNull()))
     )
-    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    base = base.withColumn("_canonical", canonical(F.col("_text")))
-    scanned = base.join(F.broadcast(notice_map)).select(
+    base = docs.select(F.col(key).alias("_key"), _canonical_lines(F.col(text)).alias("_lines"))
+    base = base.withColumn("_canonical", F.trim(F.regexp_replace("_lines", r"[^a-z0-9]+", " ")))
+    scanned = base.select(
         F.col("_key").alias(key),
         F.char_length("_canonical").cast("long").alias("n_canonical_chars"),
         F.sha2("_canonical", 256).alias("text_digest"),

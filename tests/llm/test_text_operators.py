@@ -175,6 +175,31 @@ def test_licences(spark):
         licenses.known_digests(spark, {"x": ("a",) * (licenses.MAX_KNOWN + 1)})
 
 
+def test_licence_tables_cover_usual_notices_and_texts(spark):
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        " * This program is distributed under the terms of the GNU General Public License v2 or later": "GPL-2.0-or-later",
+        "# SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+        "This file is released under CC BY-ND 3.0": "CC-BY-ND-3.0",
+        "Available under CC0 1.0": "CC0-1.0",
+        "This software is licensed under the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    }
+    texts = {"GPL-3.0", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Apache-2.0", "CC0-1.0", "Unlicense"}
+    rows = [(i, f"some text\n{line}\nmore text", name) for i, (line, name) in enumerate(notices.items())]
+    rows += [(100 + i, "Copyright (c) 2020 Someone\n" + licenses.KNOWN_TEXTS[name][0].upper(), name) for i, name in enumerate(sorted(texts))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    assert [out[i]["notices"] for i in range(len(notices))] == [[n] for n in notices.values()]
+    assert {out[i]["license"] for i in out if i >= 100} == texts
+    # no form stands for two licences
+    for known in (licenses.KNOWN_TEXTS, licenses.KNOWN_NOTICES):
+        pairs = [(n, t) for n, ts in known.items() for t in ts]
+        forms = spark.createDataFrame(pairs, "name string, body string").select("name", licenses.canonical(F.col("body")).alias("form"))
+        assert forms.groupBy("form").agg(F.collect_set("name").alias("names")).filter("size(names) > 1 or form = ''").collect() == []
+
+
 # --- mixing ------------------------------------------------------------------------------
 
 
