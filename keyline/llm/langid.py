@@ -179,29 +179,37 @@ def fit(
     texts: int = FIT_TEXTS,
     symbols: int = FIT_SYMBOLS,
 ) -> Model:
-    """Learn from a bounded sample: per language ``texts`` texts picked by their hash,
-    and ``symbols`` symbols of them in all, an equal part from each.
+    """Learn from a bounded sample: per language the ``texts`` distinct texts of least
+    hash, or all if there are fewer, and ``symbols`` symbols of them in all, an equal
+    part from each. Copies of a text don't change the model.
 
     Rows without text or language are left out. Only the sample reaches the driver:
     of each language about three times ``texts`` candidates, of each at most
     ``symbols`` characters. All languages together get ``TOTAL_SYMBOLS`` at most.
     """
     known = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    known = known.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    known = known.filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    known = known.withColumn("place", F.pmod("h", F.lit(1 << 31)) / float(1 << 31))
+    # copies count once; the count is near enough, as it only sets how many candidates come
+    distinct = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    sizes = {r["lang"]: max(r["n"], 1) for r in distinct.limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 3.0 * texts / n)]) if sizes else None
     sample: dict[str, list[str]] = {}
-    if sizes:
-        hashed = known.withColumn("h", F.xxhash64("text"))
-        near = hashed.filter(F.pmod("h", F.lit(1 << 31)) / float(1 << 31) < F.element_at(share, F.col("lang")))
-        # copies of a text count once
-        once = near.groupBy("lang", "h").agg(F.min(F.substring("text", 1, symbols)).alias("text"))
-        for row in sorted(once.collect(), key=lambda r: (r["lang"], r["h"])):
-            chosen = sample.setdefault(row["lang"], [])
+    shares = {k: 3.0 * texts / n for k, n in sizes.items()}
+    while shares:
+        share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
+        near = known.filter(F.col("place") < F.element_at(share, F.col("lang")))
+        once = near.groupBy("lang", "place", "h").agg(F.min(F.substring("text", 1, symbols)).alias("text"))
+        found: dict[str, list[str]] = {}
+        for row in sorted(once.collect(), key=lambda r: (r["lang"], r["place"], r["h"])):
+            chosen = found.setdefault(row["lang"], [])
             if len(chosen) < texts:
                 chosen.append(row["text"])
+        sample.update(found)
+        # a language that came short is read again, at last whole
+        shares = {k: 8 * x for k, x in shares.items() if x < 1 and len(found.get(k, ())) < texts}
+    if sizes:
         symbols = min(symbols, TOTAL_SYMBOLS // len(sizes))
     seen = Counter(c for chosen in sample.values() for t in chosen for c in t.lower() if c.isalpha())
     common = sorted(seen, key=lambda c: (-seen[c], c))[:MAX_LETTERS]

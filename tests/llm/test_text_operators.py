@@ -67,6 +67,18 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.predict(df, empty).collect()} == {"und"}
 
 
+def test_copies_do_not_change_the_model(spark):
+    rng = random.Random(3)
+    words = {k: ["".join(rng.choice(k) for _ in range(rng.randrange(2, 8))) for _ in range(50)] for k in ("abcde", "defgh", "ghijk", "klmno", "opqrs", "stuvw")}
+    once = [(" ".join(rng.choices(w, k=12)), k) for n, (k, w) in zip((1, 1, 1, 20, 100, 700), words.items(), strict=True) for _ in range(n)]
+    group = {k: t for t, k in once}  # one text of each language makes up most rows
+    rows = spark.createDataFrame(once, "text string, lang string")
+    copies = spark.createDataFrame([(t, k) for k, t in group.items()], "text string, lang string").crossJoin(spark.range(5000)).drop("id")
+    plain, heavy = langid.fit(rows), langid.fit(rows.unionByName(copies))
+    assert heavy.languages == sorted(words) and heavy.letters == plain.letters
+    assert all(np.array_equal(a, b) for a, b in zip(plain.parsers, heavy.parsers, strict=True))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
