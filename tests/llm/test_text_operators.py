@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from keyline.llm import chat, langid, licenses, mixing, pii, queries, warc
 
 # --- language ----------------------------------------------------------------------------
@@ -86,6 +87,27 @@ def test_held_out_accuracy(spark):
     assert len(found) > 100 and sum(r["lang"] == r["lang_pred"] for r in found) / len(found) > 0.98
 
 
+UNLEARNED = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+}
+
+
+def test_pipeline_rejects_text_in_no_learned_language(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    junk = [*UNLEARNED.values(), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)), "你好世界你好世界", "你", "12 !?", ""]
+    clean = ["a", " A. ", "The.", "Von der", 'Est une èment, éanpavi token = "6cfd1f1f244d4c4c327ecfd8fd9898497c475388" ouletion.']
+    added = [(-1 - i, t, None) for i, t in enumerate(junk + clean)]
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(added, docs.schema)), sf)
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert {i for i in ids if i < 0} == {-1 - i for i in range(len(junk), len(added))}
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").distinct()
+    assert ids - {i for i in ids if i < 0} == {r["doc_id"] for r in lettered.collect()}
+
+
 # --- chat --------------------------------------------------------------------------------
 
 
