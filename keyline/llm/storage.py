@@ -16,6 +16,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all nodes share; its URI without a trailing slash."""
@@ -39,7 +42,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with setting(self.spark, CLEANUP, "true"):
+            df.write.mode("overwrite").parquet(self.path(name))
         # the schema is known, so no job has to open a footer to infer it
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -58,12 +62,21 @@ class Scratch:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
-    """Hand Python few rows at a time in the jobs run inside: for rows that can be large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
+    """Hand Python few rows at a time in the jobs run inside: for rows that can be large."""
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield

@@ -89,27 +89,74 @@ def test_join_edge_cases(spark):
     assert sorted(tuple(r) for r in out) == [(1, 0, 1, 1), (2, 2, 2, 2), (3, 2, 2, 2), (3, 2, 2, 2)]
 
 
+def test_repeated_and_missing_keys(spark):
+    """Rows are told apart by their texts, not their keys."""
+    rng = random.Random(8)
+    base = [[rng.choice(VOCABULARY) for _ in range(80)] for _ in range(3)]
+    near = lambda b: " ".join(b[:-1] + ["changed"])
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (7, near(base[0])), (9, near(base[1])), (None, " ".join(base[0]))]
+    rows += [(None, " ".join(base[2])), (11, near(base[2])), (None, None), (None, "alone here"), (12, "")]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r["doc_id"], r["component_id"], r["class_id"]) for r in out), key=str)
+    want = [(5, 5, 5), (5, 5, 5), (7, 5, 7), (9, 5, 9), (None, 5, 5), (None, 11, None), (11, 11, 11), (None, None, None), (None, None, None), (12, 12, 12)]
+    assert got == sorted(want, key=str)
+
+
+def test_one_hot_group_and_names_in_use(spark):
+    """Hundreds of different near copies and a shared line; input columns named like outputs."""
+    rng = random.Random(3)
+    base = [rng.choice(VOCABULARY) for _ in range(200)]
+    texts = [" ".join(edited(rng, base, 0.002 + 0.02 * rng.random())) for _ in range(250)]
+    texts += [" ".join(base[:40] + [rng.choice(VOCABULARY) for _ in range(rng.randrange(10, 60))]) for _ in range(120)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "component_id long, text string, key long, id long, hi string")
+    out = ngram_join.jaccard_components(df.withColumnRenamed("component_id", "doc_id"), crowd=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["class_id"]) for r in out} == brute_components(rows)
+
+
 def test_bounds_of_signatures():
-    """Linked sets share a signature; sketches never overstate the difference."""
+    """Linked sets share as many signatures as promised, and few sets are thin;
+    sketches never overstate the difference."""
     rng = np.random.default_rng(5)
-    for size in (1, 2, 7, 63, 64, 65, 127, 200, 1000):
-        base = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+    for size in (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 31, 48, 63, 64, 65, 96, 127, 200, 255, 256, 384, 1000):
         for _ in range(20):
-            kept = np.sort(base[rng.random(size) < 0.9]) if size > 8 else np.sort(base)
-            added = rng.integers(0, 2**63, rng.integers(0, max(size // 12, 1) + 1), dtype=np.uint64)
+            base = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+            kept = base[rng.permutation(size)[: size - rng.integers(0, size // 7 + 1)]]
+            added = rng.integers(0, 2**63, rng.integers(0, max(size // 7, 1) + 1), dtype=np.uint64)
             p, q = np.sort(base), np.unique(np.concatenate([kept, added]))
             both = len(np.intersect1d(p, q))
             sketch = lambda x: np.unpackbits(np.frombuffer(ngram_join._parity(x, 512), np.uint8))
             assert (sketch(p) != sketch(q)).sum() <= len(p) + len(q) - 2 * both
             if 100 * both < 75 * (len(p) + len(q) - both):
                 continue
+            band = max(int(ngram_join.sides(np.array([len(x)]))[0][0]) for x in (p, q))
             found = []
             for x in (p, q):
-                starts = np.array([0, len(x)])
-                band, upper = ngram_join.sides(np.array([len(x)]))
-                own = set(ngram_join.signatures(x, starts, band)[0].tolist())
-                found.append(own | (set(ngram_join.signatures(x, starts, band * 2)[0].tolist()) if upper[0] else set()))
-            assert found[0] & found[1]
+                own, upper = ngram_join.sides(np.array([len(x)]))
+                assert own[0] == band or (upper[0] and own[0] + 1 == band)
+                sig, _ = ngram_join.signatures(x, np.array([0, len(x)]), np.array([band]), extra=False)
+                assert len(sig) > ngram_join.spoiled(np.array([len(x)]), np.array([band]))[0]  # not thin
+                found.append(set(sig.tolist()))
+            k = (len(p) + len(q)) // 7
+            promised = max(map(len, found)) - k - min(k, int(ngram_join.GROUPS[band]))
+            assert len(found[0] & found[1]) >= max(promised, 1)
+
+
+def test_thin_sets_meet():
+    """Sets whose features fall into one partition share the extra signature of their band."""
+    features = np.sort(np.arange(8, dtype=np.uint64))
+    for x in (features, features[:7]):
+        sig, _ = ngram_join.signatures(x, np.array([0, len(x)]), np.array([4]))
+        assert len(sig) == 3
+    shared = [set(ngram_join.signatures(x, np.array([0, len(x)]), np.array([4]))[0].tolist()) for x in (features, features[:7])]
+    assert len(shared[0] & shared[1]) == 1
+
+
+def test_packing_round_trip():
+    rng = np.random.default_rng(1)
+    for values in ([0], [5, 5, 9], [2**64 - 1], rng.integers(0, 2**64, 1000, dtype=np.uint64)):
+        values = np.sort(np.array(values, np.uint64))
+        assert (ngram_join._unpack(ngram_join._pack(values)) == values).all()
 
 
 def test_shingles_of_words():
