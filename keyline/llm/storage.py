@@ -41,9 +41,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *, compression: str = "snappy") -> DataFrame:
         with setting(self.spark, CLEANUP, "true"):
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         # the schema is known, so no job has to open a footer to infer it
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -12,8 +12,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +21,107 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
-from .words import groups
+from .storage import CLEANUP, Scratch, setting
+from .words import groups, mix, utf8
 
 #: Distinct words and pieces that a worker process remembers; then it starts afresh.
-CACHE_WORDS, CACHE_PIECES = 150_000, 600_000
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 1_000_000
+#: Longer words are encoded anew each time.
+LONGEST = 64
 
 #: Words of printable ASCII and Latin letters without special lower-case forms.
 PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
+#: Those of letters, with only signs behind them: two pieces.
+LETTERS_SIGNS = "^(?P<s>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)(?P<r>[!-/:-@\\[-`{-~\u00d7\u00f7]*)$"
 
 #: Options of the writer: v2 pages give DELTA_BINARY_PACKED integers.
 DELTA = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 DICTIONARY = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true"}
 
-FILE_SCHEMA = "part int, seq long, {key} long, n_tokens long, ids array<int>"
+FILE_SCHEMA = "part int, seq long, {key} long, n_tokens long, before long, ids array<int>"
 
 _encoders: dict[str, WordEncoder] = {}
+_U = np.uint64
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices first, first + 1, ... of each run, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+class Memory:
+    """Ids of short strings by 128 bits of multilinear hashes of their bytes.
+
+    Strings beyond ``LONGEST`` bytes are never kept. All ids lie in one array.
+    """
+
+    _rng = np.random.Generator(np.random.PCG64(77))
+    _byte = _rng.integers(1, 2**63, (2, 256), dtype=_U) * _U(2) + _U(1)
+    _place = _rng.integers(1, 2**63, (2, LONGEST), dtype=_U) * _U(2) + _U(1)
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.check = np.zeros(0, _U), np.zeros(0, _U)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, "<i4"), 0
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def hashes(self, strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes, and whether a string is short enough to be kept."""
+        data, where = utf8(strings)
+        size = np.diff(where)
+        short = size <= LONGEST
+        size = np.where(short, size, 0)
+        flat = data[spread(where[:-1], size)]
+        place = spread(np.zeros(len(size), np.int64), size)
+        some = np.flatnonzero(size)
+        starts = (np.cumsum(size) - size)[some]
+        out = []
+        for byte, by_place in zip(self._byte, self._place, strict=True):
+            half = mix(size.astype(_U))
+            if len(some):
+                half[some] ^= mix(np.add.reduceat(byte[flat] * by_place[place], starts))
+            out.append(half)
+        return out[0], out[1], short
+
+    def find(self, hashed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``ids`` and number of ids; place -1 where a string is not known."""
+        h, check, short = hashed
+        at, size = np.full(len(h), -1), np.zeros(len(h), np.int64)
+        if len(self):
+            i = np.minimum(np.searchsorted(self.hash, h), len(self) - 1)
+            known = short & (self.hash[i] == h) & (self.check[i] == check)
+            at[known], size[known] = self.at[i[known]], self.size[i[known]]
+        return at, size
+
+    def append(self, ids: np.ndarray) -> int:
+        """Put ids behind the others; where they begin."""
+        begin = self.used
+        self.used += len(ids)
+        if self.used > len(self.ids):
+            grown = np.zeros(1 << int(self.used).bit_length(), "<i4")
+            grown[:begin] = self.ids[:begin]
+            self.ids = grown
+        self.ids[begin : self.used] = ids
+        return begin
+
+    def keep(self, hashed: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, size: np.ndarray) -> None:
+        """Remember distinct strings that were not known."""
+        h, check, short = hashed
+        new, first = np.unique(h[short], return_index=True)
+        place = np.searchsorted(self.hash, new)
+        if len(self):  # one string a hash; another one is not kept
+            free = self.hash[np.minimum(place, len(self) - 1)] != new
+            new, first, place = new[free], first[free], place[free]
+        rows = np.flatnonzero(short)[first]
+        self.hash = np.insert(self.hash, place, new)
+        self.check = np.insert(self.check, place, check[rows])
+        self.at, self.size = np.insert(self.at, place, at[rows]), np.insert(self.size, place, size[rows])
 
 
 class WordEncoder:
@@ -47,14 +132,15 @@ class WordEncoder:
     ids of a text are those of its runs of non-blank characters in order, and each
     distinct run needs the library only once. Splitting at ASCII blanks alone is
     enough: other white space stays inside a run, which the library then splits.
-    Arrow splits the texts and numbers their distinct words, so Python sees each word
-    of a block once.
+    Arrow splits the texts and numbers their distinct words; those met before are
+    found by their hashes in numpy.
     :meth:`WordEncoder.check` verifies this for a tokenizer file; else whole texts are
     encoded.
 
-    A run of plain letters and signs (``PLAIN``, where every Unicode version agrees) is
-    cut into pre-tokens by the file's own pattern; the library's model encodes those
-    not met before, so that it meets 'the', 'The' and 'the,' once.
+    A word of letters with signs behind them, or neither, is cut into these two pieces
+    by Arrow; other runs of plain letters and signs (``PLAIN``, where every Unicode
+    version agrees) by the file's own pattern. The library's model encodes pieces not
+    met before, so that it meets 'the', 'The' and 'the,' once.
     """
 
     def __init__(self, path: str):
@@ -62,11 +148,12 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Memory(), Memory()
         self.pattern = self._piece_pattern()
         self.model = Tokenizer(self.tokenizer.model)
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = map(chr, range(0xC0, 0x180))
+        self.to_bytes = {ord(c): to_bytes.pre_tokenize_str(c)[0][0] for c in latin}
         self.by_word = self.check()
 
     def _piece_pattern(self):
@@ -88,73 +175,113 @@ class WordEncoder:
         """Whether words can be encoded one by one, tried on a probe of hard cases."""
         probe = "Ab c'd  é\n\tΑΣ ΣΑ 12,3 x <|y|> \u0301z ß It's ÀÉ×÷ŉ a__b the, End. Ça. x, ''S l'été I\u0307 \u0130"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        words = [w for w in re.split("[ \t\n\r]+", probe) if w]
-        self._learn(words)
-        return b"".join(self.known[w] for w in words) == np.asarray(whole, "<i4").tobytes()
+        return self._by_words(pa.array([probe]), np.zeros(0, "<i4"))[0].tolist() == whole
 
     def _cut(self, words: list[str]) -> tuple[dict[str, list[str]], list[str]]:
         """Pre-tokens of plain words, and the other words."""
         plain, other, find = {}, [], self.pattern.findall
         for w in words:
-            if not w.isascii() and not PLAIN.fullmatch(w):
-                other.append(w)
-            elif w.isalpha():  # one run of letters, whatever follows an apostrophe
-                plain[w] = [w.lower()]
-            elif w[-1:] in (",", ".") and w[:-1].isalpha():
-                plain[w] = [w[:-1].lower(), w[-1]]
-            elif "<|" in w or not PLAIN.fullmatch(w):
+            if "<|" in w or not PLAIN.fullmatch(w):
                 other.append(w)
             else:
                 plain[w] = find(w.lower())
         return plain, other
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of new words."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        plain, other = {}, words
+    def _piece_ids(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of pieces (lower case) lie in ``self.pieces``, and how many there are."""
+        coded = pieces.dictionary_encode()
+        hashed = self.pieces.hashes(coded.dictionary)
+        at, size = self.pieces.find(hashed)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            texts = coded.dictionary.take(pa.array(new)).to_pylist()
+            texts = [t if t.isascii() else t.translate(self.to_bytes) for t in texts]
+            at[new], size[new] = self._encode_all(self.model, texts, self.pieces)
+            self.pieces.keep(tuple(x[new] for x in hashed), at[new], size[new])
+        of = coded.indices.to_numpy()
+        return at[of], size[of]
+
+    @staticmethod
+    def _encode_all(encoder, texts: list[str], memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+        """Encode and append to the ids of ``memory``: places and sizes."""
+        sizes, begin = [], memory.used
+        for i in range(0, len(texts), 4096):
+            found = [e.ids for e in encoder.encode_batch(texts[i : i + 4096], add_special_tokens=False)]
+            sizes += map(len, found)
+            memory.append(np.fromiter(chain.from_iterable(found), "<i4"))
+        size = np.array(sizes, np.int64)
+        return begin + np.cumsum(size) - size, size
+
+    def _join(self, at: np.ndarray, size: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Append words of ``many`` pieces each, given one after another."""
+        total = np.concatenate([[0], np.cumsum(size)])
+        ends = total[np.cumsum(many)]
+        begin = self.known.append(self.pieces.ids[spread(at, size)])
+        starts = np.concatenate([[0], ends[:-1]])
+        return begin + starts, ends - starts
+
+    def _learn(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new words: where their ids lie in ``self.known``, and how many."""
+        at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        left = np.arange(len(words))
         if self.pattern is not None:
-            plain, other = self._cut(words)
-        new = list({p for found in plain.values() for p in found if p not in self.pieces})
-        form = [p if p.isascii() else self.to_bytes.pre_tokenize_str(p)[0][0] for p in new]
-        for encoder, texts, names, into in ((self.model, form, new, self.pieces), (self.tokenizer, other, other, self.known)):
-            for i in range(0, len(texts), 4096):
-                found = encoder.encode_batch(texts[i : i + 4096], add_special_tokens=False)
-                into.update(zip(names[i : i + 4096], [array("i", e.ids).tobytes() for e in found], strict=True))
-        pieces = self.pieces
-        for w, found in plain.items():
-            self.known[w] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
-
-    def encode_column(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, each with ``end_id`` behind it, and the
-        number of ids of each text. Null is empty."""
-        if column.null_count:
-            column = column.fill_null("")
-        tail = np.zeros(0, "<i4") if end_id is None else np.array([end_id], "<i4")
-        if not self.by_word:
-            found = self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)
-            each = [np.concatenate([np.asarray(e.ids, "<i4"), tail]) for e in found]
-            return np.concatenate([np.zeros(0, "<i4"), *each]), np.array([len(e) for e in each], np.int64)
+            two = pc.extract_regex(words, LETTERS_SIGNS)
+            yes = two.is_valid().to_numpy(zero_copy_only=False)
+            some, left = np.flatnonzero(yes), np.flatnonzero(~yes)
+            if len(some):
+                two = two.take(pa.array(some))
+                both = pa.concat_arrays([pc.utf8_lower(two.field("s")), two.field("r")])
+                p, n = self._piece_ids(both)
+                order = np.arange(2 * len(some)).reshape(2, -1).T.ravel()
+                at[some], size[some] = self._join(p[order], n[order], np.full(len(some), 2))
+        names = words.take(pa.array(left)).to_pylist()
+        plain, other = self._cut(names) if self.pattern is not None else ({}, names)
+        where = dict(zip(names, left.tolist(), strict=True))
+        if plain:
+            p, n = self._piece_ids(pa.array([x for found in plain.values() for x in found], pa.string()))
+            i = [where[w] for w in plain]
+            at[i], size[i] = self._join(p, n, np.array([len(found) for found in plain.values()]))
+        if other:
+            i = [where[w] for w in other]
+            at[i], size[i] = self._encode_all(self.tokenizer, other, self.known)
+        return at, size
+
+    def _by_words(self, column: pa.Array, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(column)
         where = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(where[0], where[-1] - where[0]).dictionary_encode()
         where -= where[0]
-        words = coded.dictionary.to_pylist()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        self._learn([w for w in words if w not in known])
-        raw = [known[w] for w in words]
-        raw.append(tail.tobytes())
-        ids = np.frombuffer(b"".join(raw), "<i4")
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        first = np.cumsum(size) - size
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        # ascii_split_whitespace makes an empty word at either end of a text
+        hashed = self.known.hashes(coded.dictionary)
+        first, size = self.known.find(hashed)
+        new = np.flatnonzero(first < 0)
+        if len(new):
+            first[new], size[new] = self._learn(coded.dictionary.take(pa.array(new)))
+            self.known.keep(tuple(x[new] for x in hashed), first[new], size[new])
         # the words of each text, and one more for its end
-        word = np.insert(coded.indices.to_numpy().astype(np.int64), where[1:], len(words))
+        first = np.append(first, self.known.append(tail))
+        self.known.used -= len(tail)
+        size = np.append(size, len(tail))
+        word = np.insert(coded.indices.to_numpy().astype(np.int64), where[1:], len(size) - 1)
         size = size[word]
-        at = np.arange(size.sum()) + np.repeat(first[word] - (np.cumsum(size) - size), size)
         total = np.concatenate([[0], np.cumsum(size)])[where + np.arange(len(where))]
-        return ids[at], np.diff(total)
+        return self.known.ids[spread(first[word], size)], np.diff(total)
+
+    def encode_column(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with ``end_id`` behind it, and the
+        number of ids of each text. Null is empty."""
+        if column.null_count:
+            column = column.fill_null("")
+        tail = np.zeros(0, "<i4") if end_id is None else np.array([end_id], "<i4")
+        if self.by_word:
+            return self._by_words(column, tail)
+        found = self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)
+        each = [np.concatenate([np.asarray(e.ids, "<i4"), tail]) for e in found]
+        return np.concatenate([np.zeros(0, "<i4"), *each]), np.array([len(e) for e in each], np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian int32 ids of each text."""
@@ -170,15 +297,16 @@ def encoder(path: str) -> WordEncoder:
 
 
 def encode_rows(docs: DataFrame, tokenizer: str, *, end_id: int, key: str, text: str) -> DataFrame:
-    """(part, seq, key, n_tokens, ids) of rows as they lie in their partitions."""
+    """``FILE_SCHEMA`` of rows as they lie in their partitions; ``before`` counts the ids
+    of the rows before one in its part."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for a, b in groups(batch.column(1)):
                 ids, sizes = enc.encode_column(batch.column(1).slice(a, b - a), end_id)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -186,13 +314,17 @@ def encode_rows(docs: DataFrame, tokenizer: str, *, end_id: int, key: str, text:
                         pa.array(np.arange(seq, seq + n)),
                         batch.column(0).slice(a, n).cast(pa.int64()),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                        pa.array(before + offsets[:-1]),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                     ],
-                    names=["part", "seq", key, "n_tokens", "ids"],
+                    names=names,
                 )
-                seq += n
+                seq, before = seq + n, before + int(offsets[-1])
 
-    return docs.select(key, text).mapInArrow(run, FILE_SCHEMA.format(key=key))
+    names = ["part", "seq", key, "n_tokens", "before", "ids"]
+    if len(set(names)) < len(names):
+        raise ValueError(f"the key must not be named like a column of the files: {key}")
+    return docs.select(key, text).mapInArrow(run, FILE_SCHEMA.format(key=f"`{key}`"))
 
 
 def write_token_ids(
@@ -203,27 +335,40 @@ def write_token_ids(
     end_id: int,
     key: str = "doc_id",
     text: str = "text",
+    by_key: bool = True,
     encoding: str = "delta",
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 256 << 10,
+    page_rows: int = 1000,
 ) -> None:
     """Write the ids of all texts to ``path`` in ascending key order.
 
     Null texts are empty and get the end id alone. Null keys come first. Rows with
     equal keys lie side by side, ordered by text, so that the files do not depend on
-    the order of the input. ``encoding``: 'delta' or 'dictionary'.
+    the order of the input. Without ``by_key`` rows stay where they lie, as a global
+    shuffle left them, and nothing is exchanged. ``encoding``: 'delta' or 'dictionary'.
+    A key named like a column of the files (part, seq, ...) is an error.
     """
     options = {"delta": DELTA, "dictionary": DICTIONARY}[encoding]
-    ordered = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    ordered = ordered.repartitionByRange(key).sortWithinPartitions(key, text)
-    rows = encode_rows(ordered, tokenizer, end_id=end_id, key=key, text=text)
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
+    if by_key:
+        # rows that repeat a key are dealt by their text, so a hot key is no hot task
+        rows = rows.repartitionByRange(F.col(key), F.xxhash64(text)).sortWithinPartitions(F.col(key), F.xxhash64(text), F.col(text))
+    rows = encode_rows(rows, tokenizer, end_id=end_id, key=key, text=text)
     writer = rows.write.mode("overwrite").option("parquet.block.size", row_group_bytes)
-    writer.option("parquet.page.size", page_bytes).options(**options).parquet(path)
+    with setting(docs.sparkSession, CLEANUP, "true"):
+        writer = writer.option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
+        writer.options(**options).parquet(path)
+
 
+def read_token_ids(spark: SparkSession, path: str, key: str = "doc_id", *, keys: Sequence[int] | None = None) -> DataFrame:
+    """The rows of :func:`write_token_ids`; selecting columns reads only those.
 
-def read_token_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """The rows of :func:`write_token_ids`; selecting columns reads only those."""
-    return spark.read.schema(FILE_SCHEMA.format(key=key)).parquet(path)
+    ``keys``: only rows with one of these keys. The files ascend by key, so the row
+    groups' statistics and the page index leave most of them unread.
+    """
+    rows = spark.read.schema(FILE_SCHEMA.format(key=f"`{key}`")).parquet(path)
+    return rows if keys is None else rows.filter(F.col(key).isin(*keys))
 
 
 def _crc(ids: pa.Array) -> list[int]:
@@ -237,8 +382,8 @@ def _crc(ids: pa.Array) -> list[int]:
 def token_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Per written row, from the files: key, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all rows before it. Sums run within each written
-    part; the totals of the parts, one row a part, give each part's base.
+    ``start`` counts the ids of all rows before it: those of its part are in the files,
+    and the totals of the parts, one row a written file, give each part's base.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,25 +391,26 @@ def token_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
             ids = batch.column(3)
             sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             columns = [*batch.columns[:3], pa.array(sizes), pa.array(_crc(ids), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", key, "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(columns, names=["part", key, "before", "n_tokens", "ids_crc32"])
 
-    rows = read_token_ids(spark, path, key).select("part", "seq", key, "ids")
-    rows = rows.mapInArrow(run, f"part int, seq long, {key} long, n_tokens long, ids_crc32 long")
-    totals = read_token_ids(spark, path, key).groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
+    rows = read_token_ids(spark, path, key).select("part", key, "before", "ids")
+    rows = rows.mapInArrow(run, f"part int, `{key}` long, before long, n_tokens long, ids_crc32 long")
+    totals = read_token_ids(spark, path, key).groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("_sum"))
     bases = totals.select(
         F.col("part").alias("_part"),
         (F.sum("_sum").over(Window.orderBy("part")) - F.col("_sum")).alias("_base"),
     )
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    placed = rows.withColumn("_within", within)
-    return placed.join(bases, placed["part"] == bases["_part"]).select(
-        key, (F.col("_base") + F.col("_within")).alias("start"), "n_tokens", "ids_crc32"
+    # one row per writing task, whatever the data
+    return rows.join(F.broadcast(bases), rows["part"] == bases["_part"]).select(
+        key, (F.col("_base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
-def tokenize_to_table(docs: DataFrame, tokenizer: str, *, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize_to_table(
+    docs: DataFrame, tokenizer: str, *, end_id: int, key: str = "doc_id", text: str = "text", by_key: bool = True
+) -> DataFrame:
     """Write to the shared folder, read back, and return :func:`token_index` of it."""
     spark = docs.sparkSession
     path = Scratch(spark, "tokens").path("ids")
-    write_token_ids(docs, path, tokenizer, end_id=end_id, key=key, text=text)
+    write_token_ids(docs, path, tokenizer, end_id=end_id, key=key, text=text, by_key=by_key)
     return token_index(spark, path, key)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from keyline.llm import jpeg, queries, tokens
+from keyline.llm.storage import setting
 
 # --- JPEG --------------------------------------------------------------------------------
 
@@ -193,8 +194,12 @@ def test_token_files(spark, tmp_path, tokenizer, encoding):
     path = str(tmp_path / "ids")
     tokens.write_token_ids(df, path, queries.tokenizer_path(), end_id=2, encoding=encoding, row_group_bytes=1 << 16, page_bytes=1 << 12)
     back = sorted(tokens.read_token_ids(spark, path).collect(), key=lambda r: (r["part"], r["seq"]))
-    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode()))
-    assert [r["doc_id"] for r in back] == [r[0] for r in want]
+    assert [r["doc_id"] for r in back] == sorted(r[0] for r in rows)
+    # rows with equal keys in the order of the files
+    place = {}
+    for n, r in enumerate(back):
+        place.setdefault((r["doc_id"], tuple(r["ids"])), n)
+    want = sorted(rows, key=lambda r: place[r[0], (*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2)])
     pos, index = 0, sorted(map(tuple, tokens.token_index(spark, path).collect()), key=lambda r: r[1])
     for (i, text, _), r, line in zip(want, back, index, strict=True):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -207,6 +212,58 @@ def test_token_files(spark, tmp_path, tokenizer, encoding):
     assert tokens.tokenize_to_table(df.limit(0), queries.tokenizer_path(), end_id=2).collect() == []
 
 
+def test_random_words_encode_like_whole_texts(tokenizer, monkeypatch):
+    """Words of letters, signs, digits and Latin letters in every mixture, with a memory that overflows."""
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 300)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 200)
+    enc, rng = tokens.WordEncoder(queries.tokenizer_path()), random.Random(2)
+    signs = "abcXYZéÉßŉſ×÷'’.,!#<|>09_- \t\nİı日"
+    for _ in range(40):
+        texts = ["".join(rng.choices(signs, k=rng.randrange(0, 60))) for _ in range(30)] + ["y" * rng.randrange(60, 70) + ",", "a, A, a.", ""]
+        ids, sizes = enc.encode_column(pa.array([*texts, None]), 2)
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts] + [[2]]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(enc.known) <= 300 + 33 * 60
+
+
+def test_selected_keys_leave_pages_unread(spark, tmp_path):
+    rows = [(i, f"text number {i} " * 40) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    tokens.write_token_ids(df, path, queries.tokenizer_path(), end_id=2, row_group_bytes=1 << 22, page_rows=100)
+
+    def read(keys):
+        out = tokens.read_token_ids(spark, path, keys=keys)
+        got = out.collect()
+        node = out._jdf.queryExecution().executedPlan()
+        while node.children().size():
+            node = node.children().apply(0)
+        return {r["doc_id"]: r["ids"] for r in got}, node.metrics().apply("numOutputRows").value()
+
+    every, all_rows = read(None)
+    some, few_rows = read([17, 2345])
+    assert all_rows == 4000 and some == {k: every[k] for k in (17, 2345)} and few_rows < 1000
+    assert read([])[0] == {}
+
+
+def test_token_order_and_hot_keys(spark, tmp_path):
+    rows = [(7, f"t {i}") for i in range(600)] + [(i, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "hot")
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        tokens.write_token_ids(df, path, queries.tokenizer_path(), end_id=2)
+    back = tokens.read_token_ids(spark, path)
+    assert back.filter("doc_id = 7").select("part").distinct().count() > 1
+    starts = [(r["start"], r["doc_id"], r["n_tokens"]) for r in tokens.token_index(spark, path).orderBy("start").collect()]
+    assert [d for _, d, _ in starts] == sorted(d for d, _ in rows) and all(a + n == b for (a, _, n), (b, _, _) in zip(starts, starts[1:]))
+    kept = str(tmp_path / "kept")
+    tokens.write_token_ids(df, kept, queries.tokenizer_path(), end_id=2, by_key=False)
+    lie = [r["doc_id"] for r in df.collect()]
+    assert [r["doc_id"] for r in tokens.token_index(spark, kept).orderBy("start").collect()] == lie
+    with pytest.raises(ValueError):
+        tokens.write_token_ids(df.withColumnRenamed("doc_id", "part"), kept, queries.tokenizer_path(), end_id=2, key="part")
+
+
 # --- pipeline ----------------------------------------------------------------------------
 
 
