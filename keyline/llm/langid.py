@@ -1,22 +1,25 @@
 """Language identification by cross-parsing entropy.
 
-Fit: for every language, a bounded sample of labelled text becomes a suffix
+Fit: for every language, a bounded sample of labelled texts becomes a suffix
 automaton. Predict: a text is cut greedily into the longest phrases that occur in a
 language's sample (the cross-parsing of Ziv and Merhav); the language that needs the
 fewest phrases per symbol wins.
 
-Symbols: letters are lower-cased; every run of other characters is one blank. The
-commonest letters of the samples have symbols of their own, the rest share one that
-no sample contains, so that foreign script costs a phrase per letter.
-
-The automata are turned into dense tables and all texts of a batch advance together,
-one symbol a step: the inner loop is a table look-up in numpy. Long texts are cut
-into blocks (``BLOCK`` symbols) that are parsed side by side; their phrases add up.
+Symbols: letters are lower-cased; every run of other characters is one blank. Every
+letter of the samples has a symbol of its own, whatever the script; those that no
+sample holds share one, and cost a phrase each.
+
+The transitions of all automata lie in one hash table, and all texts of a batch advance
+together in all languages, one symbol a step: the inner loop is a table look-up in
+numpy. Long texts are cut into blocks (``BLOCK`` symbols) that are first parsed side by
+side, each as if a phrase began with it. Then each block is parsed again from where the
+last phrase of the block before it really ends, as far as the first place where a phrase
+begins in both parsings; from there on they are the same. So phrases cross the borders
+of blocks, and the counts are those of one pass over the whole text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +28,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import column, numbered, others
+
 BLOCK = 512
-#: Bounds of the fit: texts and symbols per language, languages, letters with a symbol.
-FIT_TEXTS, FIT_SYMBOLS, TOTAL_SYMBOLS, MAX_LANGUAGES, MAX_LETTERS = 60, 24_000, 200_000, 200, 61
+#: Bounds of the fit: texts and symbols per language (a longer text only where there is
+#: no other), and languages; more labels than that are an error.
+FIT_TEXTS, FIT_SYMBOLS, MOST_LANGUAGES = 60, 40_000, 1000
 UNKNOWN = "und"
-#: Texts are handled in groups of about so many characters.
-GROUP_CHARS = 1_000_000
+#: Texts are handled in groups of about so many characters, times languages.
+GROUP_CHARS = 8_000_000
+ADDED = ("lang_pred", "score", "phrase_rate")
 
 
-def _automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Dense transition table of the suffix automaton; -1 where there is none."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton, by state; state 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
@@ -60,40 +67,87 @@ def _automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.full((len(nxt), width), -1, np.int32)
-    for i, out in enumerate(nxt):
-        for s, t in out.items():
-            table[i, s] = t
-    return table
-
+    return nxt
 
-def _parser(table: np.ndarray) -> np.ndarray:
-    """Table for parsing: (next state * width) * 4 + phrases that end with the step.
 
-    Where a phrase can't go on it ends and the symbol starts the next one; a symbol
-    that the sample lacks is a phrase by itself and leads back to the start.
-    """
-    width = table.shape[1]
-    lacking = table[0] < 0
-    stop = table < 0
-    goal = np.where(stop, np.maximum(table[0], 0)[None, :], table).astype(np.int64)
-    ended = stop.astype(np.int64)
-    ended[0] = 0  # there is no phrase to end at the start
-    return ((goal * width) * 4 + ended + (stop & lacking[None, :])).astype(np.int32).ravel()
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Model:
-    """A fitted model: small, bounded by the FIT bounds, and the same for all tasks."""
+    """A fitted model: its size is bounded by the FIT bounds; the same for all tasks."""
 
     languages: list[str]
     letters: str
-    parsers: list[np.ndarray]
-    width: int
+    width: int  # symbols: the blank, the letters, any other letter
+    roots: np.ndarray  # start state of each language
+    first: np.ndarray  # language x symbol: state after a phrase's first symbol; the start where the sample lacks it
+    keys: np.ndarray  # open addressing: state * width + symbol, or -1
+    goals: np.ndarray
+
+    @classmethod
+    def build(cls, samples: dict[str, list[int]], letters: str) -> Model:
+        """From the symbols of each language's sample, below ``len(letters) + 1``."""
+        width, base = len(letters) + 2, 0
+        names, roots, keys, goals = sorted(samples), [], [], []
+        first = np.zeros((len(names), width), np.int32)
+        for i, name in enumerate(names):
+            states = automaton(samples[name])
+            roots.append(base)
+            first[i] = base
+            for s, t in states[0].items():
+                first[i, s] = base + t
+            for p, out in enumerate(states):
+                for s, t in out.items():
+                    keys.append((base + p) * width + s)
+                    goals.append(base + t)
+            base += len(states)
+        model = cls(names, letters, width, np.array(roots, np.int32), first, np.zeros(0, np.int64), np.zeros(0, np.int32))
+        model._fill(np.array(keys, np.int64), np.array(goals, np.int32))
+        return model
+
+    def _fill(self, keys: np.ndarray, goals: np.ndarray) -> None:
+        size = 1 << max(4, int(3 * len(keys)).bit_length())
+        self.keys, self.goals = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            slot, which = np.unique(at[free], return_index=True)
+            which = np.flatnonzero(free)[which]
+            self.keys[slot], self.goals[slot] = keys[which], goals[which]
+            left = np.ones(len(keys), bool)
+            left[which] = False
+            keys, goals, at = keys[left], goals[left], (at[left] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        bits = len(self.keys).bit_length() - 1
+        return ((keys.astype(np.uint64) * _HASH) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states; -1 where there is no transition."""
+        want = state.astype(np.int64) * self.width + symbol
+        shape, want = want.shape, want.ravel()
+        at = self._slot(want)
+        held = self.keys[at]
+        out = np.where(held == want, self.goals[at], np.int32(-1))
+        open_ = np.flatnonzero((held != want) & (held != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[open_]]
+            found = held == want[open_]
+            out[open_[found]] = self.goals[at[open_[found]]]
+            open_ = open_[~found & (held != -1)]
+        return out.reshape(shape)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after the symbols, and whether a phrase begins with them."""
+        goal = self.follow(state, symbol)
+        stop = goal < 0
+        return np.where(stop, self.first[lang, symbol], goal), stop | (state == self.roots[lang])
 
     def lookup(self) -> np.ndarray:
-        """Code point -> symbol: 0 for the blank, the last for any other letter."""
-        table = np.zeros(0x110000, np.uint8)
+        """Code point -> symbol: 0 for the blank, the last for a letter of no sample."""
+        table = np.zeros(0x110000, np.int32)
         for a, b in _letter_ranges():
             table[a:b] = self.width - 1
         for i, c in enumerate(self.letters):
@@ -142,33 +196,96 @@ def to_symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _squeeze(table[flat], starts)
 
 
-def count_phrases(symbols: np.ndarray, starts: np.ndarray, parsers: list[np.ndarray]) -> np.ndarray:
-    """Phrases of every text (rows) by every parser (columns)."""
-    sizes = np.diff(starts)
+def count_phrases(symbols: np.ndarray, starts: np.ndarray, model: Model) -> np.ndarray:
+    """Phrases of every text (rows) by every language (columns)."""
+    n_lang, sizes = len(model.languages), np.diff(starts)
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(sizes)), blocks)
-    if not len(owner):
-        return np.zeros((len(sizes), len(parsers)), np.int64)
+    counts = np.zeros((len(sizes), n_lang), np.int64)
+    if not len(owner) or not n_lang:
+        return counts
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = starts[:-1][owner] + nth * BLOCK
-    size = np.minimum(BLOCK, starts[1:][owner] - begin)
-    order = np.argsort(-size, kind="stable")
-    owner, begin, size = owner[order], begin[order], size[order]
-    alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # lanes with a t-th symbol
-    padded = np.concatenate([symbols, np.zeros(1, symbols.dtype)])
-    state = [np.zeros(len(owner), np.int32) for _ in parsers]
-    count = [np.zeros(len(owner), np.int32) for _ in parsers]
-    for t, lanes in enumerate(alive):
-        symbol = padded[begin[:lanes] + t].astype(np.int32)
-        for k, parser in enumerate(parsers):
-            got = parser[state[k][:lanes] + symbol]
-            count[k][:lanes] += got & 3
-            np.right_shift(got, 2, out=state[k][:lanes])
-    out = np.zeros((len(sizes), len(parsers)), np.int64)
-    for k in range(len(parsers)):
-        open_phrase = state[k] > 0
-        out[:, k] = np.bincount(owner, count[k] + open_phrase, len(sizes)).astype(np.int64)
-    return out
+    stop = starts[1:][owner]  # of the text
+    end = np.minimum(begin + BLOCK, stop)
+    n, lang = len(owner), np.arange(n_lang)
+
+    # every block as if a phrase began with it; marks: where phrases begin
+    order = np.argsort(begin - end, kind="stable")
+    size = (end - begin)[order]
+    alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+    state = np.repeat(model.roots[None, :], n, axis=0)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    marks = np.zeros((int(size[0]), n, n_lang), bool)  # blocks by rank
+    for t, lanes in enumerate(alive.tolist()):
+        symbol = symbols[begin[order[:lanes]] + t][:, None]
+        state[:lanes], marks[t, :lanes] = model.step(state[:lanes], symbol, lang[None, :])
+    states = np.empty_like(state)
+    states[order] = state
+    exits = np.repeat(stop[:, None], n_lang, axis=1)
+
+    def leave(b: np.ndarray, k: np.ndarray, state: np.ndarray) -> None:
+        """Go on from the ends of blocks to where the next phrase begins."""
+        at = end[b].copy()
+        while len(b):
+            on = at < stop[b]
+            b, k, state, at = b[on], k[on], state[on], at[on]
+            state, begins = model.step(state, symbols[at], k)
+            exits[b[begins], k[begins]] = at[begins]
+            b, k, state, at = b[~begins], k[~begins], state[~begins], at[~begins] + 1
+
+    inner_b, inner_k = (x.ravel() for x in np.meshgrid(np.flatnonzero(end < stop), lang, indexing="ij"))
+    leave(inner_b, inner_k, states[inner_b, inner_k])
+    first_exits = exits.copy()
+    behind = np.cumsum(marks[::-1], axis=0, dtype=np.int16)[::-1]  # phrases from a place on
+    per_block = behind[0, rank].astype(np.int64)
+
+    # again from where the phrase before a block really ends, until both parsings agree
+    later = np.flatnonzero(nth > 0)
+    entry = begin[:, None].repeat(n_lang, axis=1)
+    todo = np.zeros((n, n_lang), bool)
+    todo[later] = True
+    while todo.any():
+        b, k = np.nonzero(todo)
+        known = entry[b, k]
+        entry[b, k] = exits[b - 1, k]
+        changed = entry[b, k] != known
+        b, k = b[changed], k[changed]
+        was = exits[b, k]
+        at, made = entry[b, k], np.zeros(len(b), np.int64)
+        over = at >= end[b]  # one phrase covers the whole block
+        per_block[b[over], k[over]] = 0
+        exits[b[over], k[over]] = at[over]
+        i = np.flatnonzero(~over)
+        state = model.roots[k[i]]
+        gone: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(i):
+            state, begins = model.step(state, symbols[at[i]], k[i])
+            place = at[i] - begin[b[i]]
+            same = begins & marks[place, rank[b[i]], k[i]]
+            j = i[same]
+            per_block[b[j], k[j]] = made[j] + behind[place[same], rank[b[j]], k[j]]
+            exits[b[j], k[j]] = first_exits[b[j], k[j]]
+            made[i] += begins
+            i, state = i[~same], state[~same]
+            at[i] += 1
+            out = at[i] >= end[b[i]]
+            gone.append((i[out], state[out]))
+            i, state = i[~out], state[~out]
+        if gone:
+            j, state = np.concatenate([g[0] for g in gone]), np.concatenate([g[1] for g in gone])
+            per_block[b[j], k[j]] = made[j]
+            exits[b[j], k[j]] = stop[b[j]]
+            leave(b[j], k[j], state)
+        moved = exits[b, k] != was
+        b, k = b[moved], k[moved]
+        todo[:] = False
+        follows = b + 1 < n
+        b, k = b[follows] + 1, k[follows]
+        todo[b, k] = nth[b] > 0
+    np.add.at(counts, owner, per_block)
+    return counts
 
 
 def fit(
@@ -179,51 +296,57 @@ def fit(
     texts: int = FIT_TEXTS,
     symbols: int = FIT_SYMBOLS,
 ) -> Model:
-    """Learn from a bounded sample: per language the ``texts`` distinct texts of least
-    hash, or all if there are fewer, and ``symbols`` symbols of them in all, an equal
-    part from each. Copies of a text don't change the model.
-
-    Rows without text or language are left out. Only the sample reaches the driver:
-    of each language about three times ``texts`` candidates, of each at most
-    ``symbols`` characters. All languages together get ``TOTAL_SYMBOLS`` at most.
+    """Learn from a bounded sample of distinct labelled texts, each whole.
+
+    Per language the texts of least hash are taken in that order, ``texts`` of them at
+    most, as long as they have ``symbols`` characters in all; one that would exceed this
+    is passed over, and where every text alone does, the shortest is taken. Copies of a
+    text don't change the model. Rows without text or language are left out. Only the
+    sample reaches the driver, and the hashes and lengths of about four times as many
+    texts.
     """
-    known = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = labelled.select(column(lang).cast("string").alias("lang"), column(text).alias("text"))
     known = known.filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    known = known.withColumn("place", F.pmod("h", F.lit(1 << 31)) / float(1 << 31))
+    known = known.withColumn("place", F.pmod("h", F.lit(1 << 31)) / float(1 << 31)).withColumn("n", F.char_length("text"))
     # copies count once; the count is near enough, as it only sets how many candidates come
-    distinct = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
-    sizes = {r["lang"]: max(r["n"], 1) for r in distinct.limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sample: dict[str, list[str]] = {}
-    shares = {k: 3.0 * texts / n for k, n in sizes.items()}
+    distinct = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("rows"))
+    sizes = {r["lang"]: max(r["rows"], 1) for r in distinct.limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    chosen: dict[str, list[int]] = {}
+    shares = {k: 4.0 * texts / n for k, n in sizes.items()}
     while shares:
         share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
         near = known.filter(F.col("place") < F.element_at(share, F.col("lang")))
-        once = near.groupBy("lang", "place", "h").agg(F.min(F.substring("text", 1, symbols)).alias("text"))
-        found: dict[str, list[str]] = {}
-        for row in sorted(once.collect(), key=lambda r: (r["lang"], r["place"], r["h"])):
-            chosen = found.setdefault(row["lang"], [])
-            if len(chosen) < texts:
-                chosen.append(row["text"])
-        sample.update(found)
-        # a language that came short is read again, at last whole
-        shares = {k: 8 * x for k, x in shares.items() if x < 1 and len(found.get(k, ())) < texts}
-    if sizes:
-        symbols = min(symbols, TOTAL_SYMBOLS // len(sizes))
-    seen = Counter(c for chosen in sample.values() for t in chosen for c in t.lower() if c.isalpha())
-    common = sorted(seen, key=lambda c: (-seen[c], c))[:MAX_LETTERS]
-    model = Model(sorted(sample), "".join(sorted(common)), [], len(common) + 2)
-    table = model.lookup()
-    for name in model.languages:
-        chosen = sample[name]
-        each = max(1, symbols // len(chosen))
-        parts: list[int] = []
-        for t in chosen:
-            part = to_symbols([t], table)[0][:each]
-            parts += [int(s) for s in part[part < model.width - 1]] + [0]
-        model.parsers.append(_parser(_automaton(parts[:symbols], model.width)))
-    return model
+        found: dict[str, list[tuple[int, int]]] = {}
+        for row in sorted(near.groupBy("lang", "place", "h").agg(F.min("n").alias("n")).collect(), key=lambda r: (r["lang"], r["place"], r["h"])):
+            found.setdefault(row["lang"], []).append((row["h"], row["n"]))
+        again = {}
+        for k, x in shares.items():
+            taken, held = [], 0
+            for h, n in found.get(k, ()):
+                if len(taken) < texts and held + n <= symbols:
+                    taken.append(h)
+                    held += n
+            if x < 1 and len(taken) < texts and held < symbols / 2:
+                again[k] = 8 * x  # came short: look at more, at last at all
+            elif taken:
+                chosen[k] = taken
+            elif k in found:
+                chosen[k] = [min(found[k], key=lambda c: (c[1], c[0]))[0]]
+        shares = again
+    sample: dict[str, dict[int, str]] = {}
+    if chosen:
+        wanted = F.create_map(*[x for k, hs in chosen.items() for x in (F.lit(k), F.array(*map(F.lit, hs)))])
+        rows = known.filter(F.array_contains(F.element_at(wanted, F.col("lang")), F.col("h")))
+        for row in rows.groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
+            sample.setdefault(row["lang"], {})[row["h"]] = row["text"]
+    letters = "".join(sorted({c for found in sample.values() for t in found.values() for c in t.lower() if c.isalpha()}))
+    table = Model.build({}, letters).lookup()
+    parts: dict[str, list[int]] = {}
+    for name, found in sample.items():
+        parts[name] = [s for h in chosen[name] if h in found for s in [*to_symbols([found[h]], table)[0].tolist(), 0]]
+    return Model.build(parts, letters)
 
 
 def classify(texts: list[str | None], model: Model, table: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -233,16 +356,16 @@ def classify(texts: list[str | None], model: Model, table: np.ndarray) -> tuple[
     sizes = np.diff(starts)
     letters = np.concatenate([[0], np.cumsum(symbols > 0)])
     lettered = letters[starts[1:]] > letters[starts[:-1]]
-    counts = count_phrases(symbols, starts, model.parsers)
+    counts = count_phrases(symbols, starts, model)
     for i in range(len(texts)):
         if not lettered[i] or not model.languages:
             names.append(UNKNOWN)
             continue
         row = counts[i]
         best = int(row.argmin())  # ties: the first by name
-        others = np.delete(row, best)
+        rest = np.delete(row, best)
         names.append(model.languages[best])
-        scores[i] = 1.0 - row[best] / others.min() if len(others) else 1.0
+        scores[i] = 1.0 - row[best] / rest.min() if len(rest) else 1.0
         rates[i] = row[best] / sizes[i]
     return names, scores, rates
 
@@ -252,11 +375,15 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     score: 1 - phrases of the best / phrases of the second-best language, from 0 to
     1. phrase_rate: phrases per symbol of the best language, 1 at most. Text that is
-    null or has no letter: 'und', score 0, rate 1.
+    null or has no letter: 'und', score 0, rate 1. Columns of the added names are
+    replaced; all others, whatever their names, pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the FIT bounds
-    names = docs.columns
-    place = names.index(text)
+    names = others(docs.columns, ADDED)
+    read = names if text in names else [*names, text]
+    rows = numbered(docs, read)
+    plain = rows.columns[: len(names)]
+    place, most = read.index(text), max(1, GROUP_CHARS // max(4, len(model.languages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -269,19 +396,19 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             start = 0
             while start < len(texts):
                 end, size = start, 0
-                while end < len(texts) and size < GROUP_CHARS:
+                while end < len(texts) and size < most:
                     size += len(texts[end] or "")
                     end += 1
                 langs, scores, rates = classify(texts[start:end], m, table)
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(rates)],
-                    names=[*names, "lang_pred", "score", "phrase_rate"],
+                    [*part.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores), pa.array(rates)],
+                    names=[*plain, *ADDED],
                 )
                 start = end
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, phrase_rate double")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(names)])
+    return rows.mapInArrow(run, f"{schema}lang_pred string, score double, phrase_rate double").toDF(*names, *ADDED)
 
 
 def held_out(key: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A text is brought to a canonical form - lower case, copyright lines removed,
 equivalent spellings unified, everything but ASCII letters and digits reduced to
-single spaces - and the SHA-256 of the *entire* form is looked up in a table of
+single spaces, so that it does not depend on how lines are wrapped - and the SHA-256 of the *entire* form is looked up in a table of
 digests of known licence texts. The same is done for each distinct line, against
 known one-line notices, so that a grant inside a longer file is reported too.
 """
@@ -17,22 +17,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import column
+
 _HERE = Path(__file__).parent
 
-#: Lines that start so carry names and years, which differ between copies.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
+#: Lines that start so carry names and years, which differ between copies: "copyright"
+#: followed by a sign, a year, a name's lead-in or a blank to fill in. A line of prose that
+#: happens to begin with the word, as the text was wrapped, is none.
+COPYRIGHT_LINE = (
+    r"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9]{4}|by |year|yyyy|name of|the [^\n]{0,60}(?:authors|contributors))"
+    r"|©|\(c\)[^a-z0-9\n]*(?:[0-9]{4}|copyright))[^\n]*$"
+)
 
 #: Equivalent spellings, applied in this order to lower-case text (fixed values).
 SPELLINGS = (
     ("licence", "license"),
-    ("sub license", "sublicense"),
-    ("sub-license", "sublicense"),
-    ("per cent", "percent"),
     ("non-commercial", "noncommercial"),
     ("merchantibility", "merchantability"),
     ("&", " and "),
     ("https://", "http://"),
 )
+#: Equivalent words, applied to the words with a space before and after each (fixed values).
+WORDS = (
+    (" sub license", " sublicense"),
+    (" per cent ", " percent "),
+    (" all rights reserved ", " "),
+)
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -240,9 +250,17 @@ def _canonical_lines(text: Column) -> Column:
     return F.regexp_replace(out, r"[^a-z0-9\n]+", " ")
 
 
+def _unified(words: Column) -> Column:
+    """Words between single spaces, with equivalent ones made one."""
+    out = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
+    for word, one in WORDS:
+        out = F.replace(out, F.lit(word), F.lit(one))
+    return F.trim(out)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null, a text without letters or digits is ''."""
-    return F.trim(F.regexp_replace(_canonical_lines(text), r"[^a-z0-9]+", " "))
+    return _unified(F.regexp_replace(_canonical_lines(text), r"[^a-z0-9]+", " "))
 
 
 def digest(text: Column) -> Column:
@@ -293,20 +311,20 @@ def scan_licenses(
         return F.element_at(F.element_at(table, F.substring(key, 1, 2)), key)
 
     # no notice is longer or begins otherwise, so nothing is lost
-    forms = F.transform(F.split(F.col("_lines"), "\n"), lambda x: F.trim(x))
+    forms = F.transform(F.split(F.col("lines"), "\n"), _unified)
     candidate = F.filter(
         forms, lambda x: (F.char_length(x) <= longest) & F.substring_index(x, " ", 1).isin(first_words)
     )
     found = F.array_sort(
         F.array_distinct(F.filter(F.transform(candidate, name_of), lambda x: x.isNotNull()))
     )
-    base = docs.select(F.col(key).alias("_key"), _canonical_lines(F.col(text)).alias("_lines"))
-    base = base.withColumn("_canonical", F.trim(F.regexp_replace("_lines", r"[^a-z0-9]+", " ")))
+    base = docs.select(column(key).alias("key"), _canonical_lines(column(text)).alias("lines"))
+    base = base.withColumn("form", _unified(F.regexp_replace("lines", r"[^a-z0-9]+", " ")))
     scanned = base.select(
-        F.col("_key").alias(key),
-        F.char_length("_canonical").cast("long").alias("n_canonical_chars"),
-        F.sha2("_canonical", 256).alias("text_digest"),
+        "key",
+        F.char_length("form").cast("long").alias("n_canonical_chars"),
+        F.sha2("form", 256).alias("text_digest"),
         F.coalesce(found, F.array().cast("array<string>")).alias("notices"),
     )
     hit = scanned.join(F.broadcast(texts), F.col("text_digest") == F.col("known_digest"), "left")
-    return hit.select(key, "n_canonical_chars", "text_digest", "license", "notices")
+    return hit.select(F.col("key").alias(key), "n_canonical_chars", "text_digest", "license", "notices")

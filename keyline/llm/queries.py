@@ -166,7 +166,10 @@ def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
     for spelling, one in licenses.SPELLINGS:
         out = f"replace({out}, {_quoted(spelling)}, {_quoted(one)})"
-    return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+    out = f"' ' || trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g')) || ' '"
+    for word, one in licenses.WORDS:
+        out = f"replace({out}, {_quoted(word)}, {_quoted(one)})"
+    return f"trim({out})"
 
 
 def _known_sql(known: dict[str, tuple[str, ...]]) -> str:
@@ -212,8 +215,8 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 9: WARC revisits --------------------------------------------------------------------
 
-#: Time between the first crawl, in which every page is a response, and the second.
-RECRAWL = 10**12
+#: Seconds between the first crawl, in which every page is a response, and the second.
+RECRAWL = 10**11
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -223,28 +226,34 @@ def page_records(pages: DataFrame) -> DataFrame:
     as their client knew it, so they disagree where a page of the same canonical URL but
     with other content was crawled last.
     """
-    etag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
-    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    html = F.coalesce("html", F.lit(""))
+    etag = F.concat(F.lit('"'), F.substring(F.md5(html), 1, 16), F.lit('"'))
+    number = F.lpad(F.col("page_id").cast("string"), 12, "0")
+    later = 2 * RECRAWL - F.col("page_id")
     first = pages.select(
-        F.concat(F.lit("r"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("record_id"),
+        F.concat(F.lit("r"), number).alias("record_id"),
         F.lit("response").alias("warc_type"), "url", F.col("page_id").alias("ts"), F.lit(200).alias("status"),
-        F.create_map(F.lit("ETag"), etag, F.lit("Content-Length"), size, F.lit("Date"), F.col("page_id").cast("string")).alias("headers"),
+        F.create_map(F.lit("ETag"), etag, F.lit("X-Length"), F.octet_length(html).cast("string"), F.lit("Date"), F.col("page_id").cast("string")).alias("headers"),
+        html.alias("payload"),
     )
     second = pages.select(
-        F.concat(F.lit("v"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("record_id"),
-        F.lit("revisit").alias("warc_type"), "url", (2 * RECRAWL - F.col("page_id")).alias("ts"), F.lit(304).alias("status"),
-        F.create_map(
-            F.lit("ETag"), etag, F.lit("Content-Length"), F.lit("0"), F.lit("Date"), (2 * RECRAWL - F.col("page_id")).cast("string")
-        ).alias("headers"),
+        F.concat(F.lit("v"), number).alias("record_id"),
+        F.lit("revisit").alias("warc_type"), "url", later.alias("ts"), F.lit(304).alias("status"),
+        F.create_map(F.lit("ETag"), etag, F.lit("X-Length"), F.lit("0"), F.lit("Date"), later.cast("string")).alias("headers"),
+        F.lit("").alias("payload"),
     )
     return first.unionByName(second)
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.resolve_revisits(page_records(_table(spark, sf_dir, "pages")))
+    """Pages are written as WARC files, read back, and their revisits get headers and bodies."""
+    scratch = Scratch(spark, "crawl")
+    warc.write_warc(page_records(_table(spark, sf_dir, "pages")), scratch.path("files"))
+    out = warc.resolve_revisits(warc.read_warc(spark, scratch.path("files")))
     return out.select(
         "record_id", "canonical", "ts", "response_id", "response_ts", "outcome",
-        *[F.element_at("headers", h).alias(h.replace("-", "_")) for h in ("etag", "content-length", "date")],
+        *[F.element_at("headers", h).alias(h.replace("-", "_")) for h in ("etag", "x-length", "date")],
+        F.length("payload").cast("long").alias("payload_bytes"), F.md5("payload").alias("payload_md5"),
     )
 
 
@@ -267,14 +276,16 @@ kept as (
 ),
 urls as (
   select page_id, place || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as canonical,
-    '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' as etag, cast(strlen(coalesce(html, '')) as varchar) as size
+    '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' as etag, strlen(coalesce(html, '')) as size, md5(coalesce(html, '')) as body
   from kept
 ),
 last as (select canonical, max(page_id) as page_id from urls group by 1)
-select 'v' || lpad(cast(v.page_id as varchar), 12, '0') as record_id, v.canonical, 2000000000000 - v.page_id as ts,
+select 'v' || lpad(cast(v.page_id as varchar), 12, '0') as record_id, v.canonical, 200000000000 - v.page_id as ts,
   'r' || lpad(cast(r.page_id as varchar), 12, '0') as response_id, r.page_id as response_ts,
   case when v.etag = r.etag then 'resolved' else 'mismatch' end as outcome, v.etag as etag,
-  case when v.etag = r.etag then r.size else '0' end as content_length, cast(2000000000000 - v.page_id as varchar) as date
+  case when v.etag = r.etag then cast(r.size as varchar) else '0' end as x_length, cast(200000000000 - v.page_id as varchar) as date,
+  case when v.etag = r.etag then cast(r.size as bigint) else 0 end as payload_bytes,
+  case when v.etag = r.etag then r.body else md5('') end as payload_md5
 from urls v join last l on v.canonical = l.canonical join urls r on r.page_id = l.page_id
 """
 
@@ -287,8 +298,10 @@ MIX_SEED = "mix"
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, MIX_WEIGHTS, seed=MIX_SEED)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.mix(docs, MIX_WEIGHTS, seed=MIX_SEED, told_by=["text"])
+    # from the texts that the shuffle brought here
+    return out.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")))).drop("text")
 
 
 OP10_SQL = """
@@ -306,18 +319,19 @@ terms as (
   where k < ceil(rate + 12 * sqrt(rate) + 30)
 ),
 draws as (
-  select doc_id, d.source, r.rate,
+  select doc_id, d.source, r.rate, text,
     cast(('0x' || substr(md5('mix:count:' || coalesce(cast(doc_id as varchar), 'null')), 1, 13)) as bigint)
       / 4503599627370496.0::double as u
   from documents d join rates r on d.source is not distinct from r.source
 ),
 counts as (
-  select d.doc_id, d.source, d.rate, d.u, (
+  select d.doc_id, d.source, d.rate, d.text, d.u, (
     select count(*) from terms t where t.source is not distinct from d.source and t.c <= d.u) as n
   from draws d
 )
 select doc_id, source, rate as mix_rate, cast(i as int) as mix_copy,
-  md5('mix:order:' || coalesce(cast(doc_id as varchar), 'null') || ':' || i) as mix_key
+  md5('mix:order:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, 'null')) || ':' || i) as mix_key,
+  md5(coalesce(text, '')) as text_md5
 from (select *, unnest(range(n)) as i from counts where n > 0) t
 """
 
