@@ -1,14 +1,18 @@
 r"""PII surrogates in DataFrame functions only.
 
-Entities are found by one pattern, classified, and replaced by surrogates derived from
-a keyed digest of type and value: the same value gets the same surrogate everywhere
-(coreference), without any look-up. Surrogates keep the format - length, case, script,
-punctuation, card prefix and check digit, title and grammatical gender of a name.
-
-Distinctness is checked over the whole table: distinct values whose surrogates
-coincide, or whose surrogate is itself a value in the table, are drawn again with the
-next attempt number until none is left. Only such values, usually none, are kept in a
-table of exceptions; documents that hold one of them are joined with it.
+Entities are found by one pattern and classified. Each stands for one identity or two,
+whatever its spelling: an address in lower case, a number's digits with the country, a
+family name and a given name within that family. A surrogate is drawn for the identity
+from a keyed digest, and then written in the form of the entity - case, script,
+punctuation, card prefix and check digit, title and grammatical gender of a name. So the
+same identity gets the same surrogate everywhere (coreference), also in another format or
+when a full name is followed by the bare family name.
+
+Distinctness is checked over the whole table: distinct identities whose surrogates
+coincide, or whose surrogate is itself an identity in the table, are drawn again with
+the next attempt number until none is left; where the space of a format is small, later
+attempts draw from a wider one, so this always ends. Only such identities, usually few,
+are kept in a table of exceptions; documents that hold one of them are joined with it.
 
 A text is rebuilt from the pieces between entities, so nothing outside an entity
 changes.
@@ -16,9 +20,10 @@ changes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import column, others, unused
 from .storage import Scratch
 
 #: Titles by grammatical gender (fixed values); Dr and Prof have none.
@@ -43,22 +48,29 @@ SYLLABLES = {
 _NAME = r"\p{Lu}[\p{L}'-]{1,30}"
 _TITLE = "|".join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES))
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = r"""(?i:token|secret|api_key|apikey|password)["']?\s{0,3}[=:]\s{0,3}["'][A-Za-z0-9_/+-]{16,256}["']"""
+_SECRET_NAME = "token|secret|api_key|apikey|password"
+SECRET = (
+    rf"""(?i:{_SECRET_NAME})["']?\s{{0,3}}[=:]\s{{0,3}}(?:["'][A-Za-z0-9_/+=.-]{{16,4096}}["']"""
+    r"""|(?=[A-Za-z_/+=.-]{0,64}[0-9])[A-Za-z0-9_/+=.-]{16,4096}(?![A-Za-z0-9_/+=.-]))"""
+)
 SSN = r"(?<![\d.-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.+-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 PHONE = (
-    r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d|[.]\d)"
     r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])"
 )
 PERSON = rf"\b(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?"
 ENTITY = "|".join((EMAIL, SECRET, SSN, CARD, IP, PHONE, PERSON))
 
 #: What every entity has one of: a cheap test that spares most texts the pattern.
-HINTS = (r"[0-9@]", rf"\b(?:{_TITLE})\b\.? \p{{Lu}}", r"""["'][A-Za-z0-9_/+-]{16}""")
+HINTS = (r"[0-9@]", rf"\b(?:{_TITLE})\b\.? \p{{Lu}}", rf"""(?i:{_SECRET_NAME})["']?\s{{0,3}}[=:]""")
+
+#: Attempts after which a format's space is widened, again and again.
+WIDEN = 8
 
-#: Attempts to draw a surrogate that no other value has.
-MOST_ATTEMPTS = 40
+#: Country codes of one and of two digits in international numbers; others have three (fixed values).
+ONE_DIGIT, TWO_DIGITS = "17", r"2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 
 def _digits(value: Column) -> Column:
@@ -83,7 +95,7 @@ def classify(value: Column) -> Column:
     card = value.rlike(rf"^(?:{CARD})$") & digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)") & (luhn_sum(digits) % 10 == 0)
     ip = F.forall(F.split(value, r"\."), lambda x: x.try_cast("int") <= 255)
     return (
-        F.when(value.rlike("""["']$"""), F.lit("secret"))
+        F.when(value.rlike(rf"""^(?i:{_SECRET_NAME})["']?\s{{0,3}}[=:]"""), F.lit("secret"))
         .when(value.rlike("@"), F.lit("email"))
         .when(value.rlike(rf"^(?:{_TITLE})\b"), F.lit("person"))
         .when(value.rlike(rf"^(?:{SSN})$"), F.lit("ssn"))
@@ -93,28 +105,43 @@ def classify(value: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class _Stream:
-    """Numbers derived from a keyed digest of type, value and attempt."""
+    """Numbers derived from a keyed digest of type, value and attempt: 16 of a SHA-256."""
 
-    def __init__(self, key: str, kind: str, value: Column, attempt: Column):
-        self.seed = F.concat_ws("|", F.lit(key), F.lit(kind), attempt.cast("string"), value)
+    def __init__(self, digests: Column):
+        self.digests = digests
+
+    @classmethod
+    def use(cls, key: str, kind: str, value: Column, attempt: Column, n: Column | int, body) -> Column:
+        """``body(stream)`` with a stream of ``n`` numbers."""
+        seed = F.concat_ws("|", F.lit(key), F.lit(kind), attempt.cast("string"), value)
+        n = n if isinstance(n, Column) else F.lit(n)
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int"))
+        text = F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat(seed, F.lit("|"), i.cast("string")), 256)), "")
+        return _let(text, lambda digests: body(cls(digests)))
 
     def number(self, i: Column | int) -> Column:
-        """The i-th number, 0 to 2**32 - 1."""
-        i = i if isinstance(i, Column) else F.lit(i)
-        text = F.sha2(F.concat(self.seed, F.lit("|"), i.cast("string")), 256)
-        return F.conv(F.substring(text, 1, 8), 16, 10).cast("long")
+        """The i-th number, 0 to 2**16 - 1."""
+        at = (i if isinstance(i, Column) else F.lit(i)) * 4 + 1
+        return F.conv(F.substr(self.digests, at, F.lit(4)), 16, 10).cast("int")
 
     def pick(self, alphabet: str | tuple[str, ...], i: Column | int) -> Column:
-        table = F.array(*[F.lit(c) for c in alphabet])
-        return F.element_at(table, (self.number(i) % len(alphabet) + 1).cast("int"))
+        nth = self.number(i) % len(alphabet)
+        if isinstance(alphabet, str):
+            return F.substr(F.lit(alphabet), nth + 1, F.lit(1))
+        return F.element_at(F.array(*[F.lit(c) for c in alphabet]), nth + 1)
 
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 
 
-def reshape(value: Column, stream: _Stream, *, hexadecimal: bool = False) -> Column:
+def _reshape(value: Column, stream: _Stream, *, hexadecimal: bool = False) -> Column:
     """Every letter and digit replaced by another of its class, case and script; the
     rest, and letters of other scripts' signs, kept."""
     lower, upper = ("abcdef", "ABCDEF") if hexadecimal else (_LOWER, _UPPER)
@@ -132,100 +159,211 @@ def reshape(value: Column, stream: _Stream, *, hexadecimal: bool = False) -> Col
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def _email(value: Column, key: str, attempt: Column) -> Column:
-    local = F.substring_index(value, "@", 1)
-    domain = F.lower(F.substring_index(value, "@", -1))
-    host = _Stream(key, "domain", domain, F.lit(0))  # addresses of a domain stay together
-    named = F.concat(F.lit("mail"), (host.number(0) % 1_000_000_000).cast("string"), F.lit(".example.org"))
-    named = F.when(value.rlike("[A-Z]") & ~value.rlike("[a-z]"), F.upper(named)).otherwise(named)
-    # addresses that differ in case alone stay alike
-    return F.concat(reshape(local, _Stream(key, "email", F.lower(value), attempt)), F.lit("@"), named)
+def _digits_of(stream: _Stream, first: int, n: Column) -> Column:
+    """``n`` random digits, by the numbers from ``first`` on; '' for none."""
+    places = F.filter(F.sequence(F.lit(first), F.lit(first) + F.greatest(n, F.lit(1)) - 1), lambda i: i < n + first)
+    return F.array_join(F.transform(places, lambda i: stream.pick(_DIGIT, i)), "")
 
 
-def _keep_shape(value: Column, digits: Column) -> Column:
-    """``value`` with its digits replaced in order by those of ``digits``."""
-    out = F.aggregate(
-        F.split(value, ""),
-        F.struct(F.lit("").alias("s"), F.lit(1).alias("i")),
-        lambda acc, c: F.when(
-            c.rlike(r"\d"), F.struct(F.concat(acc["s"], F.substr(digits, acc["i"], F.lit(1))).alias("s"), (acc["i"] + 1).alias("i"))
-        ).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["i"].alias("i"))),
-    )
-    return out["s"]
-
+def _wider(attempt: Column) -> Column:
+    """How often the space of a format has been widened at an attempt."""
+    return F.floor(attempt / WIDEN).cast("int")
 
-def _some_digits(stream: _Stream, n: Column) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: stream.pick(_DIGIT, i)), "")
 
+# --- identities: what is drawn for ---------------------------------------------------------
 
-def _card(value: Column, key: str, attempt: Column) -> Column:
-    digits = _digits(value)
-    body = F.concat(F.substring(digits, 1, 2), _some_digits(_Stream(key, "card", digits, attempt), F.length(digits) - 3))
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return _keep_shape(value, F.concat(body, check.cast("string")))
+_PLAIN_SECRET = rf"""^(.*?(?i:{_SECRET_NAME})["']?\s{{0,3}}[=:]\s{{0,3}}["']?)(.*?)(["']?)$"""
 
 
-def _phone(value: Column, key: str, attempt: Column) -> Column:
+def _phone_id(value: Column) -> Column:
+    """Country and national digits, 'cc:digits'. Numbers without a country are those of the
+    formats that the country 1 has."""
     digits = _digits(value)
-    code = F.regexp_extract(value, r"^\+(\d{1,3})(?=[ .(-])", 1)  # the country stays
-    area = F.substr(digits, F.length(code) + 1, F.lit(1))
-    stream = _Stream(key, "phone", digits, attempt)
-    first = F.when(area.isin("0", "1"), area).otherwise(stream.pick("23456789", 0))
-    rest = _some_digits(stream, F.greatest(F.length(digits) - F.length(code) - 1, F.lit(1)))
-    return _keep_shape(value, F.concat(code, first, rest))
+    code = (
+        F.when(~value.startswith("+"), F.lit("1"))
+        .when(digits.rlike(f"^[{ONE_DIGIT}]"), F.substring(digits, 1, 1))
+        .when(digits.rlike(f"^(?:{TWO_DIGITS})"), F.substring(digits, 1, 2))
+        .otherwise(F.substring(digits, 1, 3))
+    )
+    national = F.when(value.startswith("+"), F.substr(digits, F.length(code) + 1, F.length(digits))).otherwise(digits)
+    return F.concat_ws(":", code, national)
 
 
-def _ip(value: Column, key: str, attempt: Column) -> Column:
-    stream = _Stream(key, "ip", value, attempt)
-    first = F.substring_index(value, ".", 1)
-    private = first.isin("10", "127") | value.rlike(r"^192\.168\.") | value.rlike(r"^172\.(1[6-9]|2\d|3[01])\.")
-    octet = lambda i: (stream.number(i) % 256).cast("string")
-    public = (stream.number(0) % 98 + 128).cast("string")
-    head = F.when(private, F.substring_index(value, ".", 2)).otherwise(F.concat_ws(".", public, octet(1)))
-    return F.concat_ws(".", head, octet(2), octet(3))
+def _words_of(value: Column) -> tuple[Column, Column, Column]:
+    """Title, given name ('' if there is none) and family name of a person."""
+    words = F.split(value, " ")
+    given = F.when(F.size(words) > 2, F.element_at(words, 2)).otherwise(F.lit(""))
+    return F.element_at(words, 1), given, F.element_at(words, -1)
 
 
-def _person(value: Column, key: str, attempt: Column) -> Column:
-    words = F.split(value, " ")
-    title = F.element_at(words, 1)
+def _gender(title: Column) -> Column:
     bare = F.replace(title, F.lit("."), F.lit(""))
-    family = F.element_at(words, -1)
+    return F.when(bare.isin(*MALE_TITLES), "m").when(bare.isin(*FEMALE_TITLES), "f").otherwise("n")
+
+
+def _family_id(value: Column) -> Column:
+    return F.concat(F.lit("family|"), F.lower(_words_of(value)[2]))
+
+
+def _given_id(value: Column) -> Column:
+    """A given name is one of its family and gender."""
+    title, given, family = _words_of(value)
+    return F.concat_ws("|", F.lit("given"), F.lower(family), _gender(title), F.lower(given))
+
+
+def identities(value: Column, kind: Column) -> Column:
+    """The identities ('type|what') of an entity, as an array; empty for a null kind."""
+    simple = (
+        F.when(kind == "email", F.lower(value)).when(kind == "phone", _phone_id(value)).when(kind == "card", _digits(value))
+        .when(kind == "secret", F.regexp_extract(value, _PLAIN_SECRET, 2)).otherwise(value)
+    )
+    return (
+        F.when(kind.isNull(), F.array().cast("array<string>"))
+        .when(kind != "person", F.array(F.concat_ws("|", kind, simple)))
+        .when(_words_of(value)[1] == "", F.array(_family_id(value)))
+        .otherwise(F.array(_family_id(value), _given_id(value)))
+    )
+
+
+def _draw_email(what: Column, key: str, attempt: Column) -> Column:
+    local, domain = F.substring_index(what, "@", 1), F.substring_index(what, "@", -1)
+    # addresses of a domain stay together
+    host = _Stream.use(key, "domain", domain, F.lit(0), 2, lambda s: (s.number(0).cast("long") * 65536 + s.number(1)).cast("string"))
+    more = _wider(attempt)
+    made = _Stream.use(
+        key, "email", what, attempt, F.length(local) + more,
+        lambda s: F.concat(_reshape(local, s), F.substr(F.sha2(s.digests, 256), F.lit(1), more)),
+    )
+    return F.concat(made, F.lit("@mail"), host, F.lit(".example.org"))
+
+
+def _draw_phone(what: Column, key: str, attempt: Column) -> Column:
+    code, national = F.substring_index(what, ":", 1), F.substring_index(what, ":", -1)
+    area = F.substring(national, 1, 1)
+
+    def made(s: _Stream) -> Column:
+        first = F.when(area.isin("0", "1"), area).otherwise(s.pick("23456789", 0))
+        return F.concat(code, F.lit(":"), first, _digits_of(s, 1, F.length(national) - 1 + _wider(attempt)))
 
-    def by_gender(script: str) -> Column:
-        given = F.element_at(words, 2)
-        draw = lambda g: _Stream(key, f"given-{g}", given, attempt).pick(GIVEN[script, g], 0)
-        return F.when(bare.isin(*MALE_TITLES), draw("m")).when(bare.isin(*FEMALE_TITLES), draw("f")).otherwise(draw("n"))
+    return _Stream.use(key, "phone", what, attempt, F.length(national) + _wider(attempt) + 1, made)
 
-    def surname(script: str) -> Column:
-        stream = _Stream(key, "family", family, attempt)
-        return F.initcap(F.concat(*[stream.pick(SYLLABLES[script], i) for i in range(4)]))
 
-    cyrillic = family.rlike(r"^\p{IsCyrillic}")
-    given = F.when(cyrillic, by_gender("cyrillic")).otherwise(by_gender("latin"))
-    last = F.when(cyrillic, surname("cyrillic")).otherwise(surname("latin"))
-    return F.when(F.size(words) > 2, F.concat_ws(" ", title, given, last)).otherwise(F.concat_ws(" ", title, last))
+def _draw_card(what: Column, key: str, attempt: Column) -> Column:
+    body = _Stream.use(key, "card", what, attempt, 20, lambda s: F.concat(F.substring(what, 1, 2), _digits_of(s, 0, F.length(what) - 3)))
+    return _let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
 
 
-def _secret(value: Column, key: str, attempt: Column) -> Column:
-    """The part in quotes is replaced; what names it stays."""
-    form = r"""^(.*["'])([A-Za-z0-9_/+-]{16,256})(["'])$"""
-    inner = F.regexp_extract(value, form, 2)
-    stream = _Stream(key, "secret", inner, attempt)
-    made = F.when(inner.rlike("^[0-9a-fA-F]+$"), reshape(inner, stream, hexadecimal=True)).otherwise(reshape(inner, stream))
-    return F.concat(F.regexp_extract(value, form, 1), made, F.regexp_extract(value, form, 3))
+def _draw_ip(what: Column, key: str, attempt: Column) -> Column:
+    first = F.substring_index(what, ".", 1)
+    private = first.isin("10", "127") | what.rlike(r"^192\.168\.") | what.rlike(r"^172\.(1[6-9]|2\d|3[01])\.")
+    wide = attempt >= WIDEN  # any address of 10.0.0.0/8, of 127.0.0.0/8, or any public one but for the first
 
+    def made(s: _Stream) -> Column:
+        octet = lambda i: (s.number(i) % 256).cast("string")
+        kept = F.when(wide, F.concat_ws(".", F.when(first == "127", first).otherwise("10"), octet(1))).otherwise(F.substring_index(what, ".", 2))
+        public = F.when(wide, s.number(0) % 91 + 12).otherwise(s.number(0) % 98 + 128).cast("string")
+        return F.concat_ws(".", F.when(private, kept).otherwise(F.concat_ws(".", public, octet(1))), octet(2), octet(3))
 
-def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity at an attempt; what is no entity (null kind) stays."""
+    return _Stream.use(key, "ip", what, attempt, 4, made)
+
+
+def _draw_secret(what: Column, key: str, attempt: Column) -> Column:
+    made = lambda s: F.when(what.rlike("^[0-9a-fA-F]+$"), _reshape(what, s, hexadecimal=True)).otherwise(_reshape(what, s))
+    return _Stream.use(key, "secret", what, attempt, F.length(what), made)
+
+
+def _syllables(s: _Stream, script: str, first: int, n: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(first), F.lit(first) + n - 1), lambda i: s.pick(SYLLABLES[script], i)), "")
+
+
+def _draw_family(what: Column, key: str, attempt: Column) -> Column:
+    n = F.lit(4) + _wider(attempt)
+    made = lambda s: F.when(what.rlike(r"^\p{IsCyrillic}"), _syllables(s, "cyrillic", 0, n)).otherwise(_syllables(s, "latin", 0, n))
+    return _Stream.use(key, "family", what, attempt, n, made)
+
+
+#: Endings of given names made of syllables, by script and gender (fixed values).
+_ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "n"): "i", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("cyrillic", "n"): "и"}
+
+
+def _draw_given(what: Column, key: str, attempt: Column) -> Column:
+    """Of the family and gender 'family|gender|given': names of the tables at first, then of syllables."""
+    family, gender = F.substring_index(what, "|", 1), F.substring_index(F.substring_index(what, "|", 2), "|", -1)
+
+    def of(script: str, s: _Stream) -> Column:
+        listed, ending = F.lit(""), F.lit("")
+        for g in ("m", "f", "n"):
+            listed = F.when(gender == g, F.lower(s.pick(GIVEN[script, g], 0))).otherwise(listed)
+            ending = F.when(gender == g, F.lit(_ENDINGS[script, g])).otherwise(ending)
+        made = F.concat(_syllables(s, script, 1, F.lit(2) + _wider(attempt)), ending)
+        return F.when(attempt < 4, listed).otherwise(made)
+
+    name = _Stream.use(
+        key, "given", what, attempt, F.lit(4) + _wider(attempt),
+        lambda s: F.when(family.rlike(r"^\p{IsCyrillic}"), of("cyrillic", s)).otherwise(of("latin", s)),
+    )
+    return F.concat_ws("|", family, gender, name)
+
+
+def draw_identity(ident: Column, key: str, attempt: Column) -> Column:
+    """The surrogate of an identity at an attempt, an identity of the same type."""
+    kind, what = F.substring_index(ident, "|", 1), F.substr(ident, F.instr(ident, "|") + 1, F.length(ident))
+    made = (
+        F.when(kind == "email", _draw_email(what, key, attempt))
+        .when(kind == "phone", _draw_phone(what, key, attempt))
+        .when(kind == "ip", _draw_ip(what, key, attempt))
+        .when(kind == "card", _draw_card(what, key, attempt))
+        .when(kind == "ssn", _Stream.use(key, "ssn", what, attempt, F.length(what), lambda s: _reshape(what, s)))
+        .when(kind == "family", _draw_family(what, key, attempt))
+        .when(kind == "given", _draw_given(what, key, attempt))
+        .when(kind == "secret", _draw_secret(what, key, attempt))
+        .otherwise(what)
+    )
+    return F.concat(kind, F.lit("|"), made)
+
+
+# --- the written form -----------------------------------------------------------------------
+
+
+def _keep_shape(value: Column, digits: Column) -> Column:
+    """``value`` with its digits replaced in order by those of ``digits``; more than it
+    has go to the end."""
+    n = F.length(_digits(value))
+    out = F.aggregate(
+        F.split(value, ""),
+        F.struct(F.lit("").alias("s"), F.lit(1).alias("i")),
+        lambda acc, c: F.when(
+            c.rlike(r"\d"), F.struct(F.concat(acc["s"], F.substr(digits, acc["i"], F.lit(1))).alias("s"), (acc["i"] + 1).alias("i"))
+        ).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["i"].alias("i"))),
+    )
+    return F.concat(out["s"], F.substr(digits, n + 1, F.length(digits)))
+
+
+def _keep_case(value: Column, made: Column) -> Column:
+    """``made`` (lower case) with capitals where ``value`` has them."""
+    all_caps = value.rlike(r"\p{Lu}") & ~value.rlike(r"\p{Ll}") & (F.length(value) > 1)
+    mixed = F.array_join(F.transform(F.split(made, ""), lambda c, i: F.when(F.substr(value, i + 1, F.lit(1)).rlike(r"^\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    return F.when(all_caps, F.upper(made)).when(value.rlike(r"\p{Lu}"), mixed).otherwise(made)
+
+
+def _render(value: Column, kind: Column, made: Column) -> Column:
+    """The surrogate identities (an array) of an entity in its own form."""
+    what = F.substr(made[0], F.instr(made[0], "|") + 1, F.length(made[0]))
+    local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    caps = host.rlike("[A-Z]") & ~host.rlike("[a-z]")
+    email = F.concat(
+        _keep_case(local, F.substring_index(what, "@", 1)), F.lit("@"),
+        F.when(caps, F.upper(F.substring_index(what, "@", -1))).otherwise(F.substring_index(what, "@", -1)),
+    )
+    national = F.substring_index(what, ":", -1)
+    phone = F.when(value.startswith("+"), F.concat(F.substring_index(what, ":", 1), national)).otherwise(national)
+    secret = F.concat(F.regexp_extract(value, _PLAIN_SECRET, 1), what, F.regexp_extract(value, _PLAIN_SECRET, 3))
+    title, given, family = _words_of(value)
+    name = lambda old, new: F.when(old.rlike(r"\p{Ll}") | (F.length(old) == 1), F.initcap(new)).otherwise(F.upper(new))
+    person = F.concat_ws(" ", title, F.when(given != "", name(given, F.substring_index(made[1], "|", -1))), name(family, what))
     return (
-        F.when(kind == "email", _email(value, key, attempt))
-        .when(kind == "phone", _phone(value, key, attempt))
-        .when(kind == "ip", _ip(value, key, attempt))
-        .when(kind == "card", _card(value, key, attempt))
-        .when(kind == "ssn", reshape(value, _Stream(key, "ssn", value, attempt)))
-        .when(kind == "person", _person(value, key, attempt))
-        .when(kind == "secret", _secret(value, key, attempt))
-        .otherwise(value)
+        F.when(kind == "email", email).when(kind.isin("phone", "card"), _keep_shape(value, F.when(kind == "phone", phone).otherwise(what)))
+        .when(kind == "secret", secret).when(kind == "person", person).when(kind.isin("ip", "ssn"), what).otherwise(value)
     )
 
 
@@ -242,42 +380,42 @@ def matches(text: Column) -> Column:
     return F.when(hinted(text), F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)))
 
 
-def exceptions(docs: DataFrame, *, key: str, text: str, scratch: Scratch, draw=surrogate) -> DataFrame | None:
-    """(value, attempt) of values whose first surrogate is taken; None if there are none.
+def exceptions(docs: DataFrame, *, key: str, text: str, scratch: Scratch, draw=draw_identity) -> DataFrame | None:
+    """(ident, attempt) of identities whose first surrogate is taken; None if there are none.
 
-    Values keep their surrogate by order of value; the others try again, against all
-    surrogates given so far and all values in the table.
+    Identities keep their surrogate by order; the others try again, against all surrogates
+    given so far and all identities in the table.
     """
-    found = docs.filter(hinted(F.col(text))).select(F.explode(F.array_distinct(matches(F.col(text)))).alias("value"))
-    values = found.distinct().withColumn("kind", classify(F.col("value"))).filter("kind is not null")
-    values = scratch.save(values, "values")
-    real = values.select(F.col("value").alias("made"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.filter(hinted(column(text))).select(F.explode(F.array_distinct(matches(column(text)))).alias("value"))
+    idents = found.distinct().select(F.explode(identities(F.col("value"), classify(F.col("value")))).alias("ident")).distinct()
+    idents = scratch.save(idents, "identities")
 
-    def drawn(rows: DataFrame, attempt: int) -> DataFrame:
-        return rows.select(draw(F.col("value"), F.col("kind"), key, F.lit(attempt)).alias("made"), "value", "kind")
-
-    given = drawn(values, 0)
-    given = scratch.save(given, "given-0")
+    def drawn(rows: DataFrame, attempt: int, name: str) -> DataFrame:
+        # dealt out first: a table of small rows would else be one task's work
+        dealt = rows.select("ident").repartition(parts, "ident")
+        return scratch.save(dealt.select("ident", draw(F.col("ident"), key, F.lit(attempt)).alias("made")), name)
 
     def settled(rows: DataFrame, taken: DataFrame) -> DataFrame:
-        """The first value of each surrogate that is not taken."""
-        first = rows.groupBy("made").agg(F.min("value").alias("value"))
-        return first.join(taken, "made", "left_anti")
-
-    kept = scratch.save(settled(given, real), "kept-0")
-    out = None
-    for attempt in range(1, MOST_ATTEMPTS):
-        left = given.join(kept.select("value"), "value", "left_anti").select("value", "kind")
-        left = scratch.save(left, f"left-{attempt}")
-        if left.isEmpty():
-            return out
-        given = scratch.save(drawn(left, attempt), f"given-{attempt}")
-        now = settled(given, real.unionByName(kept.select("made")))
-        now = scratch.save(now, f"now-{attempt}")
-        mark = now.select("value", F.lit(attempt).alias("attempt"))
+        """The rows with ``stays``: whether they are the first of their surrogate, and it is free."""
+        first = F.row_number().over(Window.partitionBy("made").orderBy("ident")) == 1
+        taken = taken.select(F.col("made").alias("_made"), F.lit(True).alias("_taken"))
+        return rows.join(taken, F.col("made") == F.col("_made"), "left").select("ident", "made", (first & F.col("_taken").isNull()).alias("stays"))
+
+    real = idents.select(F.col("ident").alias("made"))
+    out, attempt = None, 0
+    round_ = scratch.save(settled(drawn(idents, 0, "drawn-0"), real), "round-0")
+    kept = round_.filter("stays")
+    while not round_.filter("not stays").isEmpty():
+        attempt += 1
+        rows = drawn(round_.filter("not stays"), attempt, f"drawn-{attempt}")
+        taken = real.unionByName(kept.select("made"))
+        round_ = scratch.save(settled(rows, taken.distinct()), f"round-{attempt}")
+        now = round_.filter("stays")
+        mark = now.select("ident", F.lit(attempt).alias("attempt"))
         out = mark if out is None else out.unionByName(mark)
-        kept = scratch.save(kept.unionByName(now), f"kept-{attempt}")
-    raise RuntimeError(f"no distinct surrogates after {MOST_ATTEMPTS} attempts")
+        kept = kept.unionByName(now)
+    return out
 
 
 def replace_pii(
@@ -287,33 +425,35 @@ def replace_pii(
     key: str = "doc_id",
     text: str = "text",
     scratch: Scratch | None = None,
-    draw=surrogate,
+    draw=draw_identity,
 ) -> DataFrame:
     """``docs`` with ``text`` replaced and ``pii_types`` added: the types of its entities in order.
 
     Null text stays null with null types. Rows that repeat are treated alike. Values of
-    digits that fail a check (octets, Luhn, issuer prefix) are not entities and stay.
+    digits that fail a check (octets, Luhn, issuer prefix) are not entities and stay. A
+    column ``pii_types`` is replaced; all others, whatever their names, pass through.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     special = exceptions(docs, key=secret_key, text=text, scratch=scratch, draw=draw)
-    body = F.col(text)
+    found, again, at = unused([*docs.columns, "pii_types"], "found", "again", "at")
+    body = column(text)
     typed = F.transform(matches(body), lambda v: F.struct(v.alias("value"), classify(v).alias("kind")))
-    rows = docs.withColumn("_found", typed)
-    if special is None:
-        rows = rows.withColumn("_again", F.lit(None).cast("map<string,int>"))
-    else:
-        held = docs.filter(hinted(body)).select(F.col(key).alias("_key"), F.explode(matches(body)).alias("value"))
-        again = held.join(special, "value").groupBy("_key").agg(
-            F.map_from_entries(F.collect_set(F.struct("value", "attempt"))).alias("_again")
-        )
-        again = scratch.save(again, "again")
-        rows = rows.join(again, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    attempt = lambda v: F.coalesce(F.element_at("_again", v), F.lit(0)) if special is not None else F.lit(0)
-    made = F.transform("_found", lambda e: draw(e["value"], e["kind"], secret_key, attempt(e["value"])))
+    typed = F.transform(typed, lambda e: F.struct(e["value"].alias("value"), e["kind"].alias("kind"), identities(e["value"], e["kind"]).alias("idents")))
+    rows = docs.withColumn(found, typed)
+    if special is not None:
+        # only documents with such an identity; a hot key among them is combined before it moves
+        held = rows.select(column(key).alias(at), F.explode(F.array_distinct(F.flatten(F.transform(found, lambda e: e["idents"])))).alias("ident")).distinct()
+        held = held.join(special, "ident").groupBy(at).agg(F.map_from_entries(F.collect_set(F.struct("ident", "attempt"))).alias(again))
+        held = scratch.save(held, "again")
+        rows = rows.join(held, column(key).eqNullSafe(F.col(at)), "left").drop(at)
+    attempt = lambda i: F.coalesce(F.element_at(again, i), F.lit(0)) if special is not None else F.lit(0)
+    drawn = lambda e: F.transform(e["idents"], lambda i: draw(i, secret_key, attempt(i)))
+    made = F.transform(found, lambda e: F.when(e["kind"].isNull(), e["value"]).otherwise(_let(drawn(e), lambda m: _render(e["value"], e["kind"], m))))
     pieces = F.split(body, ENTITY, -1)
     joined = F.array_join(F.zip_with(pieces, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    types = F.filter(F.transform("_found", lambda e: e["kind"]), lambda t: t.isNotNull())
-    columns = [F.when(F.size("_found") > 0, joined).otherwise(body).alias(text) if c == text else docs[c] for c in docs.columns]
+    types = F.filter(F.transform(found, lambda e: e["kind"]), lambda t: t.isNotNull())
+    kept = others(docs.columns, ["pii_types"])
+    columns = [F.when(F.size(found) > 0, joined).otherwise(body).alias(text) if c == text else column(c) for c in kept]
     # without a match the pattern is not run again to cut the text
     none = F.when(body.isNotNull(), F.array().cast("array<string>"))
     return rows.select(*columns, F.coalesce(types, none).alias("pii_types"))
