@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .memory import lean
 
 BLOCK = 64
 #: Blocks in a row of an encoded image, which is also its restart interval.
@@ -415,7 +416,7 @@ def media_features(df: DataFrame, *, key: str, media: str) -> DataFrame:
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(media).alias("_media")).mapInArrow(run, f"`{key}` {kind}, {MEDIA_SCHEMA}")
+    return df.select(key, F.col(media).alias("_media")).mapInArrow(lean(run), f"`{key}` {kind}, {MEDIA_SCHEMA}")
 
 
 def pack_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -435,7 +436,7 @@ def pack_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
                 files = encode_payloads(flat, starts, notes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(files, pa.binary())], names=[key, "media"])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(run, f"{key} long, media binary")
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(lean(run), f"{key} long, media binary")
 
 
 def payload_of(row: dict) -> tuple[int, bytes]:
@@ -466,7 +467,7 @@ def unpack_digests(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
 
     kinds = ["long", "long", "string", "long", "long", "string", "string"]
     schema = ", ".join(f"{n} {t}" for n, t in zip(DIGESTS, kinds, strict=True))
-    return media.select(key, "media").mapInArrow(run, f"{key} long, {schema}")
+    return media.select(key, "media").mapInArrow(lean(run), f"{key} long, {schema}")
 
 
 DIGESTS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

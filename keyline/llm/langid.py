@@ -20,14 +20,15 @@ of blocks, and the counts are those of one pass over the whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .names import column, numbered, others
 
 BLOCK = 512
@@ -71,6 +72,7 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
+_EVEN = np.uint64(2**64 - 2)
 
 
 @dataclass
@@ -82,8 +84,13 @@ class Model:
     width: int  # symbols: the blank, the letters, any other letter
     roots: np.ndarray  # start state of each language
     first: np.ndarray  # language x symbol: state after a phrase's first symbol; the start where the sample lacks it
-    keys: np.ndarray  # open addressing: state * width + symbol, or -1
-    goals: np.ndarray
+    keys: np.ndarray  # transitions: state * width + symbol
+    goals: np.ndarray  # and the next state
+    #: open addressing of the transitions: key (or -1) and goal, in turn; made where it is used
+    table: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "table": np.zeros(0, np.int64)}
 
     @classmethod
     def build(cls, samples: dict[str, list[int]], letters: str) -> Model:
@@ -102,42 +109,63 @@ class Model:
                     keys.append((base + p) * width + s)
                     goals.append(base + t)
             base += len(states)
-        model = cls(names, letters, width, np.array(roots, np.int32), first, np.zeros(0, np.int64), np.zeros(0, np.int32))
-        model._fill(np.array(keys, np.int64), np.array(goals, np.int32))
-        return model
+        return cls(names, letters, width, np.array(roots, np.int32), first, np.array(keys, np.int64), np.array(goals, np.int32))
 
-    def _fill(self, keys: np.ndarray, goals: np.ndarray) -> None:
+    def ready(self) -> None:
+        """Make the hash table, if it is not there."""
+        if len(self.table):
+            return
+        keys, goals = self.keys, self.goals
         size = 1 << max(4, int(3 * len(keys)).bit_length())
-        self.keys, self.goals = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+        self.table = np.full(2 * size, -1, np.int64)
         at = self._slot(keys)
         while len(keys):
-            free = self.keys[at] == -1
+            free = self.table[at] == -1
             slot, which = np.unique(at[free], return_index=True)
             which = np.flatnonzero(free)[which]
-            self.keys[slot], self.goals[slot] = keys[which], goals[which]
+            self.table[slot], self.table[slot + 1] = keys[which], goals[which]
             left = np.ones(len(keys), bool)
             left[which] = False
-            keys, goals, at = keys[left], goals[left], (at[left] + 1) & (size - 1)
+            keys, goals, at = keys[left], goals[left], (at[left] + 2) & (2 * size - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        bits = len(self.keys).bit_length() - 1
-        return ((keys.astype(np.uint64) * _HASH) >> np.uint64(64 - bits)).astype(np.int64)
+        """Where to look first: even places."""
+        shift = np.uint64(65 - len(self.table).bit_length())
+        return (((keys.view(np.uint64) * _HASH) >> shift) & _EVEN).view(np.int64)
 
     def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Next states; -1 where there is no transition."""
         want = state.astype(np.int64) * self.width + symbol
         shape, want = want.shape, want.ravel()
         at = self._slot(want)
-        held = self.keys[at]
-        out = np.where(held == want, self.goals[at], np.int32(-1))
-        open_ = np.flatnonzero((held != want) & (held != -1))
+        held = self.table.take(at)
+        out = self.table.take(at + 1)
+        wrong = held != want
+        out[wrong] = -1
+        open_ = np.flatnonzero(wrong & (held != -1))
         while len(open_):
-            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
-            held = self.keys[at[open_]]
+            at[open_] = (at[open_] + 2) & (len(self.table) - 1)
+            held = self.table[at[open_]]
             found = held == want[open_]
-            out[open_[found]] = self.goals[at[open_[found]]]
+            out[open_[found]] = self.table[at[open_[found]] + 1]
             open_ = open_[~found & (held != -1)]
-        return out.reshape(shape)
+        return out.astype(np.int32).reshape(shape)
+
+    def follower(self) -> Callable[[int, int], int]:
+        """:meth:`follow` for one state."""
+        table, width, mask = memoryview(self.table), self.width, len(self.table) - 1
+        factor, whole, shift = int(_HASH), 2**64 - 1, 65 - len(self.table).bit_length()
+
+        def follow(state: int, symbol: int) -> int:
+            want = state * width + symbol
+            at = ((want * factor & whole) >> shift) & ~1
+            while (held := table[at]) != want:
+                if held == -1:
+                    return -1
+                at = (at + 2) & mask
+            return table[at + 1]
+
+        return follow
 
     def step(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States after the symbols, and whether a phrase begins with them."""
@@ -198,6 +226,7 @@ def to_symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def count_phrases(symbols: np.ndarray, starts: np.ndarray, model: Model) -> np.ndarray:
     """Phrases of every text (rows) by every language (columns)."""
+    model.ready()
     n_lang, sizes = len(model.languages), np.diff(starts)
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(sizes)), blocks)
@@ -221,69 +250,51 @@ def count_phrases(symbols: np.ndarray, starts: np.ndarray, model: Model) -> np.n
     for t, lanes in enumerate(alive.tolist()):
         symbol = symbols[begin[order[:lanes]] + t][:, None]
         state[:lanes], marks[t, :lanes] = model.step(state[:lanes], symbol, lang[None, :])
-    states = np.empty_like(state)
-    states[order] = state
-    exits = np.repeat(stop[:, None], n_lang, axis=1)
-
-    def leave(b: np.ndarray, k: np.ndarray, state: np.ndarray) -> None:
-        """Go on from the ends of blocks to where the next phrase begins."""
-        at = end[b].copy()
-        while len(b):
-            on = at < stop[b]
-            b, k, state, at = b[on], k[on], state[on], at[on]
-            state, begins = model.step(state, symbols[at], k)
-            exits[b[begins], k[begins]] = at[begins]
-            b, k, state, at = b[~begins], k[~begins], state[~begins], at[~begins] + 1
-
-    inner_b, inner_k = (x.ravel() for x in np.meshgrid(np.flatnonzero(end < stop), lang, indexing="ij"))
-    leave(inner_b, inner_k, states[inner_b, inner_k])
-    first_exits = exits.copy()
+    states = state[rank]
     behind = np.cumsum(marks[::-1], axis=0, dtype=np.int16)[::-1]  # phrases from a place on
     per_block = behind[0, rank].astype(np.int64)
 
-    # again from where the phrase before a block really ends, until both parsings agree
-    later = np.flatnonzero(nth > 0)
-    entry = begin[:, None].repeat(n_lang, axis=1)
-    todo = np.zeros((n, n_lang), bool)
-    todo[later] = True
-    while todo.any():
-        b, k = np.nonzero(todo)
-        known = entry[b, k]
-        entry[b, k] = exits[b - 1, k]
-        changed = entry[b, k] != known
-        b, k = b[changed], k[changed]
-        was = exits[b, k]
-        at, made = entry[b, k], np.zeros(len(b), np.int64)
-        over = at >= end[b]  # one phrase covers the whole block
-        per_block[b[over], k[over]] = 0
-        exits[b[over], k[over]] = at[over]
-        i = np.flatnonzero(~over)
-        state = model.roots[k[i]]
-        gone: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(i):
-            state, begins = model.step(state, symbols[at[i]], k[i])
-            place = at[i] - begin[b[i]]
-            same = begins & marks[place, rank[b[i]], k[i]]
-            j = i[same]
-            per_block[b[j], k[j]] = made[j] + behind[place[same], rank[b[j]], k[j]]
-            exits[b[j], k[j]] = first_exits[b[j], k[j]]
-            made[i] += begins
-            i, state = i[~same], state[~same]
-            at[i] += 1
-            out = at[i] >= end[b[i]]
-            gone.append((i[out], state[out]))
-            i, state = i[~out], state[~out]
-        if gone:
-            j, state = np.concatenate([g[0] for g in gone]), np.concatenate([g[1] for g in gone])
-            per_block[b[j], k[j]] = made[j]
-            exits[b[j], k[j]] = stop[b[j]]
-            leave(b[j], k[j], state)
-        moved = exits[b, k] != was
-        b, k = b[moved], k[moved]
-        todo[:] = False
-        follows = b + 1 < n
-        b, k = b[follows] + 1, k[follows]
-        todo[b, k] = nth[b] > 0
+    # again from where the phrase before a block really ends, until both parsings agree: a
+    # few symbols at each border, so one by one
+    follow, at_of = model.follower(), memoryview(np.ascontiguousarray(symbols, np.int32))
+
+    def leave(state: int, at: int, stop: int, root: int) -> int:
+        """Where the next phrase begins."""
+        while at < stop:
+            goal = follow(state, at_of[at])
+            if goal < 0 or state == root:
+                return at
+            state = goal
+            at += 1
+        return stop
+
+    where = np.cumsum(blocks) - blocks
+    for text in np.flatnonzero(blocks > 1).tolist():
+        head, last = int(where[text]), int(starts[text + 1])
+        for k in range(n_lang):
+            root = int(model.roots[k])
+            entry = leave(int(states[head, k]), int(end[head]), last, root)
+            for b in range(head + 1, head + int(blocks[text])):
+                b_begin, b_end = int(begin[b]), int(end[b])
+                if entry >= b_end:  # one phrase covers the whole block
+                    per_block[b, k] = 0
+                    continue
+                at, state_of, made = entry, root, 0
+                while at < b_end:
+                    goal = follow(state_of, at_of[at])
+                    if goal < 0 or state_of == root:
+                        if marks[at - b_begin, rank[b], k]:
+                            per_block[b, k] = made + int(behind[at - b_begin, rank[b], k])
+                            state_of = int(states[b, k])
+                            break
+                        made += 1
+                        if goal < 0:
+                            goal = int(model.first[k, at_of[at]])
+                    state_of = goal
+                    at += 1
+                else:
+                    per_block[b, k] = made
+                entry = leave(state_of, b_end, last, root)
     np.add.at(counts, owner, per_block)
     return counts
 
@@ -408,7 +419,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 start = end
 
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(names)])
-    return rows.mapInArrow(run, f"{schema}lang_pred string, score double, phrase_rate double").toDF(*names, *ADDED)
+    return rows.mapInArrow(lean(run), f"{schema}lang_pred string, score double, phrase_rate double").toDF(*names, *ADDED)
 
 
 def held_out(key: Column) -> Column:

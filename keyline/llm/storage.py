@@ -3,7 +3,8 @@
 Intermediate results that several jobs read are written as Parquet below the
 folder named by ``spark.checkpoint.dir``, which driver and executors share, so
 that losing an executor never loses a stage's output. Only when that setting is
-absent (unit tests, a local shell) is a temporary folder chosen here.
+absent in local mode (unit tests, a local shell) is a temporary folder chosen here;
+elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Whether Spark deletes the shuffle files of a query when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most bytes that Spark hands to Python at once.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="keyline-"))
         base = context.getCheckpointDir()
     return base.rstrip("/")
@@ -42,7 +47,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, *, compression: str = "snappy") -> DataFrame:
-        with setting(self.spark, CLEANUP, "true"):
+        with setting(self.spark, CLEANUP, "true"), setting(self.spark, BATCH_BYTES, str(16 << 20)):
             df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         # the schema is known, so no job has to open a footer to infer it
         return self.spark.read.schema(df.schema).parquet(self.path(name))

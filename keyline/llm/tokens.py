@@ -21,11 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .storage import CLEANUP, Scratch, setting
 from .words import groups, mix, utf8
 
-#: Distinct words and pieces that a worker process remembers; then it starts afresh.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 1_000_000
+#: Distinct words and pieces that a task remembers; then it starts afresh.
+CACHE_WORDS, CACHE_PIECES = 600_000, 400_000
 #: Longer words are encoded anew each time.
 LONGEST = 64
 
@@ -156,6 +157,11 @@ class WordEncoder:
         self.to_bytes = {ord(c): to_bytes.pre_tokenize_str(c)[0][0] for c in latin}
         self.by_word = self.check()
 
+    def forget(self) -> None:
+        """Drop what was remembered."""
+        self.known.clear()
+        self.pieces.clear()
+
     def _piece_pattern(self):
         """The pre-token pattern, if the file's pipeline is lower case, split, byte level."""
         import json
@@ -304,7 +310,7 @@ def encode_rows(docs: DataFrame, tokenizer: str, *, end_id: int, key: str, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for a, b in groups(batch.column(1)):
+            for a, b in groups(batch.column(1), 2 << 20):
                 ids, sizes = enc.encode_column(batch.column(1).slice(a, b - a), end_id)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 n = b - a
@@ -320,11 +326,12 @@ def encode_rows(docs: DataFrame, tokenizer: str, *, end_id: int, key: str, text:
                     names=names,
                 )
                 seq, before = seq + n, before + int(offsets[-1])
+        enc.forget()  # the worker goes on to other tasks
 
     names = ["part", "seq", key, "n_tokens", "before", "ids"]
     if len(set(names)) < len(names):
         raise ValueError(f"the key must not be named like a column of the files: {key}")
-    return docs.select(key, text).mapInArrow(run, FILE_SCHEMA.format(key=f"`{key}`"))
+    return docs.select(key, text).mapInArrow(lean(run), FILE_SCHEMA.format(key=f"`{key}`"))
 
 
 def write_token_ids(
@@ -394,7 +401,7 @@ def token_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
             yield pa.RecordBatch.from_arrays(columns, names=["part", key, "before", "n_tokens", "ids_crc32"])
 
     rows = read_token_ids(spark, path, key).select("part", key, "before", "ids")
-    rows = rows.mapInArrow(run, f"part int, `{key}` long, before long, n_tokens long, ids_crc32 long")
+    rows = rows.mapInArrow(lean(run), f"part int, `{key}` long, before long, n_tokens long, ids_crc32 long")
     totals = read_token_ids(spark, path, key).groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("_sum"))
     bases = totals.select(
         F.col("part").alias("_part"),

@@ -23,7 +23,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 #: Texts are hashed in groups of about so many bytes, which bounds memory.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 _powers: list[np.ndarray] = []
 

@@ -32,26 +32,65 @@ def longest_match_phrases(sample, text):
     return n
 
 
-def test_cross_parsing_equals_plain_search():
+@pytest.mark.parametrize("block", [3, 7, 512])
+def test_cross_parsing_equals_plain_search(monkeypatch, block):
+    """Also where phrases cross one or many borders of blocks."""
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(1)
-    width = 5
+    as_text = lambda s: "".join(chr(x + 65) for x in s)
     for _ in range(40):
-        sample = [rng.randrange(4) for _ in range(rng.randrange(1, 60))]
-        parser = langid._parser(langid._automaton(sample, width))
-        texts = [[rng.randrange(5) for _ in range(rng.randrange(0, 90))] for _ in range(4)]
+        samples = {str(i): [rng.randrange(4) for _ in range(rng.randrange(1, 80))] for i in range(3)}
+        model = langid.Model.build(samples, "abc")
+        texts = [[rng.randrange(5) for _ in range(rng.randrange(0, 90))] for _ in range(4)] + [samples["0"] * 3, [0, 1, 2] * 30]
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        flat = np.array([s for t in texts for s in t], np.uint8)
-        got = langid.count_phrases(flat, starts, [parser])[:, 0]
-        as_text = lambda s: "".join(map(chr, np.array(s, int) + 65)) if len(s) else ""
-        assert got.tolist() == [longest_match_phrases(as_text(sample), as_text(t)) for t in texts]
+        got = langid.count_phrases(np.array([s for t in texts for s in t], np.int32), starts, model)
+        assert got.tolist() == [[longest_match_phrases(as_text(samples[k]), as_text(t)) for k in model.languages] for t in texts]
 
 
-def test_blocks_of_long_texts_add_up():
-    parser = langid._parser(langid._automaton([0, 1, 2, 0, 1], 4))
-    text = np.array([0, 1, 2] * 700, np.uint8)
-    whole = langid.count_phrases(text, np.array([0, len(text)]), [parser])[0, 0]
-    cuts = range(0, len(text), langid.BLOCK)
-    assert whole == sum(langid.count_phrases(text[a : a + langid.BLOCK], np.array([0, len(text[a : a + langid.BLOCK])]), [parser])[0, 0] for a in cuts)
+def test_predictions_of_long_texts_equal_plain_search(spark):
+    """Whole predictions against cross-parsing by string search, on texts of several blocks."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(SAMPLES[k].split(), k=60)), k) for i, k in enumerate(["en", "de"] * 12)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(labelled)
+    samples = {k: "".join(t + " " for _, t in sorted((r["h"], r["text"]) for r in labelled.filter(F.col("lang") == k).select(
+        F.struct((F.pmod(F.xxhash64("text"), F.lit(1 << 31))).alias("p"), F.xxhash64("text").alias("x")).alias("h"), "text").collect())) for k in SAMPLES}
+    texts = [" ".join(rng.choices(SAMPLES["en"].split() + SAMPLES["de"].split(), k=n)) for n in (3, 200, 900)] + [samples["de"][:2376]]
+    out = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in out:
+        counts = {k: longest_match_phrases(samples[k], r["text"]) for k in sorted(SAMPLES)}
+        best = min(sorted(SAMPLES), key=counts.get)
+        assert r["lang_pred"] == best and math.isclose(r["phrase_rate"], counts[best] / len(r["text"]))
+        assert math.isclose(r["score"], 1 - counts[best] / max(counts.values()))
+    assert {r["doc_id"]: r["phrase_rate"] for r in out}[3] == 1 / 2376
+
+
+SCRIPTS = {"en": (0x61, 26, 5), "ru": (0x430, 32, 6), "zh": (0x4E00, 1500, 2), "ja": (0x3041, 80, 4), "ko": (0xAC00, 1200, 3)}
+
+
+def test_many_scripts(spark):
+    """Every label with a script of its own, however many letters, is learned and found."""
+    rng = random.Random(9)
+
+    def text(k):
+        base, letters, size = SCRIPTS[k]
+        words = ["".join(chr(base + int(letters * rng.random() ** 2)) for _ in range(rng.randrange(1, 2 * size))) for _ in range(60)]
+        return " ".join(words) if k != "zh" else "。".join(words)
+
+    rows = [(i, text(k), k) for i, k in enumerate([*SCRIPTS] * 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.filter("doc_id < 200"))
+    found = langid.predict(df.filter("doc_id >= 200"), model).collect()
+    assert model.languages == sorted(SCRIPTS) and len(found) == 200
+    assert sum(r["lang"] == r["lang_pred"] for r in found) / len(found) > 0.98
+
+
+def test_prediction_names_in_use(spark):
+    rows = spark.createDataFrame([(1, SAMPLES["en"], 7, "old", "x"), (2, None, 8, "old", "y")], "doc_id long, text string, `a.b` int, score string, `Lang_Pred` string")
+    model = langid.fit(spark.createDataFrame([(SAMPLES["en"], "en"), (SAMPLES["de"], "de")], "text string, lang string"))
+    out = langid.predict(rows, model)
+    assert out.columns == ["doc_id", "text", "a.b", "lang_pred", "score", "phrase_rate"]
+    assert [(r["a.b"], r["lang_pred"]) for r in out.orderBy("doc_id").collect()] == [(7, "en"), (8, "und")]
 
 
 def test_language_edge_cases(spark):
@@ -77,7 +116,7 @@ def test_copies_do_not_change_the_model(spark):
     copies = spark.createDataFrame([(t, k) for k, t in group.items()], "text string, lang string").crossJoin(spark.range(5000)).drop("id")
     plain, heavy = langid.fit(rows), langid.fit(rows.unionByName(copies))
     assert heavy.languages == sorted(words) and heavy.letters == plain.letters
-    assert all(np.array_equal(a, b) for a, b in zip(plain.parsers, heavy.parsers, strict=True))
+    assert all(np.array_equal(getattr(plain, x), getattr(heavy, x)) for x in ("keys", "goals", "first", "roots"))
 
 
 def test_held_out_accuracy(spark):
@@ -168,10 +207,9 @@ def test_collisions_are_drawn_again(spark):
     """Names drawn from a tiny range: still distinct, and never a value of the table."""
     values = [f"Mr. N{chr(97 + i)}me" for i in range(12)] + ["Mr. Xa"]
 
-    def draw(value, kind, key, attempt):
-        n = F.pmod(F.xxhash64(F.concat(F.lit(key), value, attempt.cast("string"))), F.lit(26)).cast("int")
-        small = F.concat(F.lit("Mr. X"), F.char(n + 97))
-        return F.when(kind.isNotNull(), small).otherwise(value)
+    def draw(ident, key, attempt):
+        n = F.pmod(F.xxhash64(F.concat(F.lit(key), ident, attempt.cast("string"))), F.lit(26)).cast("int")
+        return F.concat(F.lit("family|x"), F.char(n + 97))
 
     df = spark.createDataFrame([(i, f"{v} met {v}.") for i, v in enumerate(values)], "doc_id long, text string")
     out = [r["text"] for r in pii.replace_pii(df, secret_key="k", draw=draw).collect()]
@@ -179,6 +217,97 @@ def test_collisions_are_drawn_again(spark):
     assert len(set(names)) == len(values) and not set(names) & set(values)
 
 
+def test_small_spaces_are_widened(spark):
+    """Every one-letter address of a domain, and many men of one family, get distinct surrogates."""
+    mails = [f"{chr(97 + i)}@tiny.org" for i in range(26)]
+    people = [f"Mr. G{chr(97 + i // 26)}{chr(97 + i % 26)} Stone" for i in range(60)]
+    rows = list(enumerate([*(f"write to {m} now" for m in mails), *(f"{p} spoke. Later Mr. Stone left" for p in people), "MR. STONE is not Herr STONE or Mr. Stone"]))
+    df = spark.createDataFrame([(*r, 1, {"a": 1}) for r in rows], "doc_id long, text string, again int, found map<string,int>")
+    result = pii.replace_pii(df, secret_key="k")
+    assert result.columns == [*df.columns, "pii_types"]
+    out = [r["text"] for r in result.orderBy("doc_id").collect()]
+    made = [re.fullmatch(r"write to (\S+@mail\d+\.example\.org) now", t)[1] for t in out[:26]]
+    assert len(set(made)) == 26 and not {m.split("@")[0] for m in made if len(m.split("@")[0]) == 1} - set("abcdefghijklmnopqrstuvwxyz")
+    full = [re.fullmatch(r"(Mr\. \w+) (\w+) spoke\. Later Mr\. \2 left", t) for t in out[26:86]]
+    assert len({m[1] for m in full}) == 60 and len({m[2] for m in full}) == 1
+    family = full[0][2]
+    assert out[86] == f"MR. STONE is not Herr {family.upper()} or Mr. {family}"
+
+
+def test_one_identity_in_many_formats(spark):
+    texts = ["+1 (743) 555-3824", "+17435553824", "(743) 555-3824", "743-555-3824", "+1.743.555.3824", "+44 743 555 3824", "Ab.Cd@Ef.com", "ab.cd@ef.COM", "AB.CD@EF.COM",
+             "4845168114407329", "4845-1681-1440-7329", "+1 (826) 555-4081 190.137.20.5", "password: Zx9_abcdefghijklm=", "api_key = 'abc.DEF-123456789012=='"]
+    out = [r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secret_key="k").orderBy("doc_id").collect()]
+    digits = ["".join(c for c in t if c.isdigit()) for t in out]
+    assert len({d[-10:] for d in digits[:5]}) == 1 and digits[0][0] == "1" and digits[5].startswith("44") and digits[5][2:] != digits[0][1:]
+    shape = lambda t: re.sub(r"\d", "9", t)
+    assert [shape(t) for t in out[:6]] == [shape(t) for t in texts[:6]]
+    assert len({t.lower() for t in out[6:9]}) == 1 and out[8] == out[8].upper() and out[6].split("@")[0][0].isupper() and out[7].split("@")[0].islower()
+    assert digits[9] == digits[10] and out[10].count("-") == 3
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} \d+\.\d+\.\d+\.\d+", out[11]) and "190.137" not in out[11]
+    assert out[12].startswith("password: ") and out[12] != texts[12] and len(out[12]) == len(texts[12]) and re.fullmatch(r"api_key = '[a-z]{3}\.[A-Z]{3}-\d{12}=='", out[13])
+
+
+def plain_kind(value):
+    """The type of a match, said once more in Python."""
+    digits = "".join(c for c in value if c.isdigit())
+    if re.match(rf"(?i:{pii._SECRET_NAME})[\"']?\s*[=:]", value):
+        return "secret"
+    if "@" in value:
+        return "email"
+    if re.match(rf"(?:{pii._TITLE})\b", value):
+        return "person"
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", value):
+        return "ssn"
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", value):
+        return "ip" if all(int(x) < 256 for x in value.split(".")) else None
+    if re.fullmatch(r"\d[\d -]*\d", value) and len(digits) in (15, 16):
+        d = [int(c) for c in digits][::-1]
+        fits = (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+        return "card" if fits and re.match("4|5[1-5]|2[2-7]|3[47]|6011|65", digits) else None
+    return "phone"
+
+
+def test_query_against_a_plain_search(spark):
+    """Every document of the query: what stands between entities is as before, types are
+    those of a plain search, and surrogates are one to one, of the same form, and new."""
+    import regex
+
+    sf = "/root/testdata/sf0.01"
+    old = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("old"))
+    pattern, made, real = regex.compile(pii.ENTITY), {}, set()
+    lower = lambda v: v.lower() if "@" in v else v
+    for r in queries.op4_pii_surrogates(spark, sf).join(old, "doc_id").collect():
+        if r["old"] is None:
+            assert r["text"] is None
+            continue
+        found = [(m.group(), plain_kind(m.group())) for m in pattern.finditer(r["old"])]
+        assert (r["pii_types"] or "") == ",".join(k for _, k in found if k)
+        at, pieces = 0, pattern.split(r["old"])
+        for i, piece in enumerate(pieces):
+            assert r["text"].startswith(piece, at)
+            at += len(piece)
+            if i < len(found):
+                value, kind = found[i]
+                after = r["text"].find(pieces[i + 1], at + 1) if pieces[i + 1] else len(r["text"])
+                if kind is None:
+                    after = at + len(value)
+                    assert r["text"][at:after] == value
+                elif kind in ("ip", "email"):  # the only ones whose length may change
+                    after = at + pattern.match(r["text"], at).end() - at if pattern.match(r["text"], at) else after
+                else:
+                    after = at + len(value)
+                if kind:
+                    got = r["text"][at:after]
+                    assert made.setdefault((kind, lower(value)), lower(got)) == lower(got) and lower(got) != lower(value)
+                    real.add((kind, lower(value)))
+                    assert plain_kind(got) == kind and (kind in ("ip", "email") or re.sub(r"\d", "9", got).lower()[:5] == re.sub(r"\d", "9", value).lower()[:5] or kind in ("person", "secret"))
+                at = after
+        assert at == len(r["text"])
+    assert len(made) > 50 and len(set(made.items())) == len({(k, g) for (k, _), g in made.items()})
+    assert not {(k, g) for (k, _), g in made.items()} & real
+
+
 def test_planted_private_data_goes_and_clean_text_stays(spark):
     sf = "/root/testdata/sf0.01"
     old = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("old"))
@@ -209,6 +338,18 @@ def test_licences(spark):
         licenses.known_digests(spark, {"x": ("a",) * (licenses.MAX_KNOWN + 1)})
 
 
+def test_licences_however_wrapped(spark):
+    import textwrap
+
+    texts = [(name, " ".join(licenses.KNOWN_TEXTS[name][0].split())) for name in ("MIT", "ISC", "Zlib", "BSD-3-Clause")]
+    rows = [(w, textwrap.fill(t, w), name) for name, t in texts for w in range(38, 111, 3)]
+    rows += [(1, t, name) for name, t in texts] + [(2, "Copyright 2020 A. Author. All rights reserved.\n© B\n(c) 2021 C\n\n" + t + "\nAll rights\nreserved.", name) for name, t in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    keyed = df.withColumn("doc_id", F.monotonically_increasing_id())
+    out = licenses.scan_licenses(keyed).join(keyed.select("doc_id", "want"), "doc_id").collect()
+    assert len(out) == len(rows) and [r for r in out if r["license"] != r["want"]] == []
+
+
 def test_licence_tables_cover_usual_notices_and_texts(spark):
     notices = {
         "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
@@ -270,13 +411,57 @@ def test_mixing_counts_and_order(spark):
     assert [r["mix_key"] for r in again] == keys
 
 
-def test_poisson_distribution(spark):
-    df = spark.range(4000).select(mixing.unit_interval("x", F.col("id").cast("string")).alias("u"))
-    for rate in (0.01, 1.0, 37.5, 2000.0):
-        values = np.array([r[0] for r in df.select(mixing.poisson_count(F.col("u"), F.lit(rate))).collect()])
-        assert abs(values.mean() - rate) < 5 * math.sqrt(rate / len(values)) + 1e-9
-    assert df.select(mixing.poisson_count(F.col("u"), F.lit(-1.0)).alias("n")).filter("n <> 0").count() == 0
-    assert df.select(mixing.poisson_count(F.col("u"), F.lit(None).cast("double")).alias("n")).filter("n <> 0").count() == 0
+def draws(spark, rate, n=4000):
+    df = spark.range(n).select(mixing.unit_interval("x", F.col("id").cast("string")).alias("u"))
+    rates = spark.createDataFrame([("s", rate)], "name string, rate double")
+    table = mixing.poisson_tables(rates, "name", "rate").first()
+    if table is None:
+        return np.array([r[0] for r in df.select(mixing.poisson_draw(F.col("u"), F.lit(None).cast("struct<least:bigint,sums:array<double>,steps:array<int>>"))).collect()])
+    made = df.crossJoin(F.broadcast(mixing.poisson_tables(rates, "name", "rate")))
+    return np.array([r[0] for r in made.select(mixing.poisson_draw(F.col("u"), F.col("table"))).collect()])
+
+
+@pytest.mark.parametrize("rate", [0.01, 1.0, 37.5, 500.0, 2400.0, 30000.0])
+def test_poisson_distribution(spark, rate):
+    """Mean, variance and shape: each tenth of the distribution holds a tenth of the draws."""
+    n = 4000
+    values = draws(spark, rate, n)
+    assert abs(values.mean() - rate) < 5 * math.sqrt(rate / n) + 1e-9
+    spread = 5 * math.sqrt((2 * rate**2 + rate) / n)  # five standard errors of a Poisson variance
+    assert abs(values.var() - rate) < spread + 1e-9
+    # cells of neighbouring numbers, each with a tenth of the draws at least
+    cells, held, low = [], 0.0, -1
+    for k in range(int(rate + 12 * math.sqrt(rate) + 30)):
+        held += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if held >= 0.1:
+            cells.append((low, k, held))
+            held, low = 0.0, k
+    cells[-1] = (cells[-1][0], math.inf, 1 - sum(c[2] for c in cells[:-1]))
+    chi = sum((((values > a) & (values <= b)).sum() - n * p) ** 2 / (n * p) for a, b, p in cells)
+    assert chi < 45  # at most 9 degrees of freedom: beyond any chance
+
+
+def test_poisson_against_exact_sums(spark):
+    for rate in (0.3, 2.0, 55.0):
+        u = [int(hashlib.md5(f"x:{i}".encode()).hexdigest()[:13], 16) / 16**13 for i in range(500)]
+        assert draws(spark, rate, 500).tolist() == [poisson(x, rate) for x in u]
+    for rate in (-1.0, None, 0.0):
+        assert not draws(spark, rate, 50).any()
+
+
+def test_mixing_names_in_use_and_hot_keys(spark):
+    rows = [(7 if i % 3 else i, "s", f"t{i}", 1, 2, "k") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, rate int, `count` int, mix_key string")
+    out = mixing.mix(df, target_rows=1800, told_by=["text"])
+    assert out.columns == ["doc_id", "source", "text", "rate", "count", "mix_rate", "mix_copy", "mix_key"]
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert len({r["mix_key"] for r in got}) == len(got) and {r["rate"] for r in got} == {1}
+    hot = Counter(r["part"] for r in got if r["doc_id"] == 7)
+    assert not hot or len(hot) == 4
+    bare = mixing.mix(df, target_rows=1800, keep_marks=False)
+    assert bare.columns == df.columns and {r["mix_key"] for r in bare.collect()} <= {"k"}
+    null = spark.createDataFrame([(None, None, None)], "doc_id long, source string, text string")
+    assert mixing.mix(null, target_rows=50).select("doc_id", "source").distinct().collect() == [(None, None)]
 
 
 # --- WARC --------------------------------------------------------------------------------
@@ -298,8 +483,8 @@ def test_revisits(spark):
         ("v7", "revisit", "http://b.org?a=1&b=2&gclid=3", 7, 304, {"last-modified": "m"}), ("v7", "revisit", "http://b.org?a=1&b=2&gclid=3", 7, 304, {"last-modified": "m"}), ("v8", "revisit", "http://b.org/?a=1&b=2", 8, 304, {"last-modified": "n"}),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], RECORDS)
-    for slot in (1 << 16, 10, 3):
-        out = warc.resolve_revisits(df, slot=slot).collect()
+    for slot in (1, 4, 50):
+        out = warc.resolve_revisits(df, slots=slot).collect()
         got = {r["record_id"]: (r["response_id"], r["outcome"]) for r in out}
         assert got == {
             "v1": ("r1", "resolved"), "v2": ("r2", "mismatch"), "v3": (None, "missing"), "v4": ("r2", "unverified"), "v5": (None, "missing"), "v6": (None, "missing"),
@@ -314,13 +499,27 @@ def test_revisits(spark):
 def test_revisits_against_brute_force(spark):
     rng = random.Random(8)
     rows = [(f"{i:04d}", rng.choice(["response", "revisit"]), f"http://h/{'hot' if rng.random() < 0.4 else rng.randrange(9)}", rng.randrange(60), 200, {"ETag": str(rng.randrange(2))}, None) for i in range(400)]
-    got = {r["record_id"]: r["response_id"] for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORDS), slot=7).collect()}
+    got = {r["record_id"]: r["response_id"] for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORDS), slots=40).collect()}
     for i, kind, url, ts, *_ in rows:
         if kind == "revisit":
             before = [(t, j) for j, k, u, t, *_ in rows if k == "response" and u == url and (t, j) < (ts, i)]
             assert got[i] == (max(before)[1] if before else None)
 
 
+def test_repeated_headers_and_bodies(spark):
+    df = spark.sql("""
+      select * from values
+        ('r', 'response', 'http://a/x', 1L, 200, map('ETag', '1', 'etag', '2', 'ETAG', '3'), binary('body')),
+        ('v', 'revisit', 'http://a/x', 2L, 304, map('etag', '0', 'Etag', '3'), binary('')),
+        ('w', 'revisit', 'http://a/x', 3L, 304, map('etag', '9'), binary('own')),
+        ('u', 'revisit', 'http://b', 3L, 304, null, null)
+      as t(record_id, warc_type, url, ts, status, headers, payload)""")
+    out = {r["record_id"]: r for r in warc.resolve_revisits(df).collect()}
+    assert out["v"]["outcome"] == "resolved" and out["v"]["payload"] == b"body" and out["v"]["headers"] == {"etag": "3"}
+    assert out["w"]["outcome"] == "mismatch" and out["w"]["payload"] == b"own"
+    assert out["u"]["outcome"] == "missing" and out["u"]["payload"] is None and out["u"]["headers"] == {}
+
+
 def test_warc_files(spark, tmp_path):
     import gzip
 
@@ -330,7 +529,13 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(info + head + http + b"\r\n\r\n" + head + http[:5])
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(head + http + b"\r\n\r\n"))
     (tmp_path / "c.warc").write_bytes(b"")
+    nested = info.replace(b"Content-Length: 2", b"Content-Length: %d" % (2 * len(info))).replace(b"warcinfo", b"resource").replace(b"\r\n\r\nhi", b"\r\n\r\n" + 2 * info)
+    bad = info.replace(b"Length: 2", b"Length: two").replace(b"warcinfo", b"bad")
+    (tmp_path / "d.warc").write_bytes(b"junk" + bad + nested + info.replace(b"warcinfo", b"after"))
+    whole = gzip.compress(info + head + http + b"\r\n\r\n") + gzip.compress(info.replace(b"h: 2", b"h: 500000") + random.Random(1).randbytes(500_000))
+    (tmp_path / "e.warc.gz").write_bytes(whole[: len(whole) - 1000])
     rows = warc.read_warc(spark, str(tmp_path)).collect()
-    assert Counter(r["warc_type"] for r in rows) == {"warcinfo": 2, "response": 2}
+    assert Counter(r["warc_type"] for r in rows) == {"warcinfo": 3, "response": 3, "resource": 1, "after": 1}
+    assert next(r for r in rows if r["warc_type"] == "resource")["payload"] == 2 * info
     response = next(r for r in rows if r["warc_type"] == "response")
     assert response["payload"] == b"<p>hi</p>" and response["status"] == 200 and response["headers"]["etag"] == "\"1\"" and response["ts"] == 1704164645
