@@ -48,34 +48,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each component of linked documents.
+    """Keep one document of each component of linked documents: that of the least id.
 
-    Of rows that repeat an id one stays. Rows without an id can't be named as copies
-    of others and stay.
+    Rows are told apart by their texts, so different texts that repeat an id, or have
+    none, each count for themselves.
     """
-    parts = ngram_join.jaccard_components(docs.filter(F.col("doc_id").isNotNull()))
-    stay = parts.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    # the join deals the texts by doc_id, and so serves the second step too
-    kept = docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return ngram_join.drop_linked(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontam.find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    leaks = Scratch(spark, "leaks").save(leaks, "ids")  # its size is known then, so Spark can choose the join
-    return docs.join(leaks, F.col("doc_id") == F.col("_leak"), "left_anti")
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents to meet the weights of their sources, in a global shuffle."""
-    return mixing.mix(docs, queries.MIX_WEIGHTS, seed=queries.MIX_SEED, keep_marks=False)
+    return mixing.mix(docs, queries.MIX_WEIGHTS, seed=queries.MIX_SEED, told_by=["text"], keep_marks=False)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token ids in order of doc_id and return the index of the files."""
-    return tokens.tokenize_to_table(docs, queries.tokenizer_path(), end_id=queries.END_ID)
+    """Write the token ids in the order in which the shuffle left the rows, and return the
+    index of the files: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.tokenize_to_table(docs, queries.tokenizer_path(), end_id=queries.END_ID, by_key=False)
 
 
 STAGES: list[tuple[str, Stage]] = [

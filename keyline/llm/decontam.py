@@ -1,6 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits of the lower-cased text. Documents and benchmark
+Tokens are runs of letters and digits of the lower-cased text, in any script; where
+words are not set apart by blanks (Chinese, Japanese kana, Thai, ...) every letter is a
+token. Documents and benchmark
 items that share a run of ``tile`` tokens (a seed) are joined in each task against an
 index of the items; a pair whose seeds cover too little of the item is dropped, since
 no tile can lie outside them. For the rest, running Karp-Rabin marks the longest
@@ -15,6 +17,7 @@ index that goes to the tasks never exceeds ``BLOCK_BYTES`` of text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +26,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .memory import lean
+from .names import column, numbered
 
 TILE, THRESHOLD = 5, 0.5
 BLOCK_BYTES = 8 << 20
 _U = np.uint64
 
+#: Candidate pairs and seeds that are held at once.
+HELD = 1 << 20
+
+#: ASCII signs and blanks; texts with others have them made blanks first.
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_SIGNS = r"[^\p{L}\p{M}\p{N}]+"
+_ALONE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all rows in order, and where each row starts (n + 1)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return words.word_hashes(*words.utf8(pc.utf8_lower(column)), blank=_SEPARATOR)
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.utf8_lower(texts)
+    other = pc.invert(pc.fill_null(pc.string_is_ascii(texts), True))
+    if pc.any(other).as_py():
+        some = pc.replace_substring_regex(texts.filter(other), _SIGNS, " ")
+        some = pc.replace_substring_regex(some, _ALONE, r" \1 ")
+        texts = pc.replace_with_mask(texts, other, some)
+    return words.word_hashes(*words.utf8(texts), blank=_SEPARATOR)
 
 
 def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -51,8 +68,8 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 class Index:
     """Seeds of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], tile: int):
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: list[str], tile: int):
+        self.ids = ids
         self.hashes, self.start = tokens(pa.array(texts, pa.string()))
         self.sizes = np.diff(self.start)
         self.tile = tile
@@ -72,28 +89,30 @@ class Index:
 def tile_matches(pattern: np.ndarray, text: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling by running Karp-Rabin: (place in pattern, place in text, length).
 
-    The search length starts at the pattern's and is halved down to ``tile``; windows
-    of unmarked tokens with equal hashes are verified and extended; the longest are
-    marked first, ties by place in the pattern and then in the text.
+    Always the longest match of unmarked tokens is marked, ties by place in the pattern
+    and then in the text. The search length starts at the pattern's and is halved down to
+    ``tile``: windows of unmarked tokens with equal hashes are verified and extended, and
+    taken longest first. What a tile leaves of a match goes back to its place in that
+    order if it still has the search length; shorter rests are found by later rounds.
     """
     tiles: list[tuple[int, int, int]] = []
     in_pattern, in_text = np.zeros(len(pattern), bool), np.zeros(len(text), bool)
     search = len(pattern)
     while search >= tile:
-        found = _windows(pattern, text, in_pattern, in_text, search)
-        longest = max((n for _, _, n in found), default=0)
-        if longest > 2 * search:
-            search = longest
-            continue
-        for p, t, n in sorted(found, key=lambda m: (-m[2], m[0], m[1])):
-            if in_pattern[p : p + n].any() or in_text[t : t + n].any():
+        heap = [(-n, p, t) for p, t, n in _windows(pattern, text, in_pattern, in_text, search)]
+        heapify(heap)
+        while heap:
+            n, p, t = heappop(heap)
+            taken = in_pattern[p : p - n] | in_text[t : t - n]
+            if not taken.any():
+                in_pattern[p : p - n] = in_text[t : t - n] = True
+                tiles.append((p, t, -n))
                 continue
-            in_pattern[p : p + n] = in_text[t : t + n] = True
-            tiles.append((p, t, n))
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= search:
+                    heappush(heap, (a - b, p + a, t + a))
         if search == tile:
-            # what an earlier tile cut short may still hold a shorter one
-            if found and _windows(pattern, text, in_pattern, in_text, tile):
-                continue
             break
         search = max(tile, search // 2)
     return tiles
@@ -127,53 +146,118 @@ def _windows(pattern: np.ndarray, text: np.ndarray, in_pattern: np.ndarray, in_t
     return out
 
 
+def _hits(index: Index, k: int, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of each run of ``k`` tokens that is a seed, and its range among the sorted seeds."""
+    seed = index.seeds[k][0]
+    runs = run_hashes(hashes, k)
+    if not len(runs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lo, hi = np.searchsorted(seed, runs, "left"), np.searchsorted(seed, runs, "right")
+    hit = np.flatnonzero((hi > lo) & (owner[: len(runs)] == owner[k - 1 :]))
+    return owner[hit], lo[hit], hi[hit]
+
+
+def _spread(lo: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
 def _candidates(index: Index, hashes: np.ndarray, start: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
-    """(row, item) whose seeds cover ``threshold`` of the item."""
-    rows, items, cover = [], [], []
-    owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    """(row, item) whose seeds cover ``threshold`` of the item.
+
+    Rows are handled in runs that meet ``HELD`` seeds of items at most (or one row alone,
+    and then its distinct seeds in such runs), so what is held doesn't grow with a seed that many items
+    share. First the distinct seeds of each pair are counted: n of them cover no more
+    than n times their length. What remains is covered token by token.
+    """
+    n_rows, n_items = len(start) - 1, len(index.sizes)
+    owner = np.repeat(np.arange(n_rows), np.diff(start))
     for k, (seed, item, place) in index.seeds.items():
-        runs = run_hashes(hashes, k)
-        if not len(runs):
+        row, lo, hi = _hits(index, k, hashes, owner)
+        if not len(row):
             continue
-        lo, hi = np.searchsorted(seed, runs, "left"), np.searchsorted(seed, runs, "right")
-        hit = np.flatnonzero((hi > lo) & (owner[: len(runs)] == owner[k - 1 :]))
-        many = hi[hit] - lo[hit]
-        which = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        row = np.repeat(owner[hit], many)
-        rows.append(np.repeat(row, k))
-        items.append(np.repeat(item[which], k))
-        cover.append((place[which][:, None] + np.arange(k)).ravel())
-    if not rows:
-        return
-    triple = np.unique(np.stack([np.concatenate(rows), np.concatenate(items), np.concatenate(cover)]), axis=1)
-    pair, covered = np.unique(triple[:2], axis=1, return_counts=True)
-    for i in np.flatnonzero(covered >= threshold * index.sizes[pair[1]]):
-        yield int(pair[0, i]), int(pair[1, i])
-
-
-def _against(docs: DataFrame, index: Index, key: str, text: str, threshold: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most BLOCK_BYTES of text
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        for batch in batches:
-            for a, b in words.groups(batch.column(1)):
-                hashes, start = tokens(batch.column(1).slice(a, b - a))
-                out: list[tuple] = []
-                for row, item in _candidates(ix, hashes, start, threshold):
-                    pattern = ix.hashes[ix.start[item] : ix.start[item + 1]]
-                    tiles = tile_matches(pattern, hashes[start[row] : start[row + 1]], min(ix.tile, len(pattern)))
-                    covered = sum(n for _, _, n in tiles)
-                    if covered >= threshold * len(pattern):
-                        out.append((a + row, int(ix.ids[item]), len(pattern), covered, len(tiles), max(n for _, _, n in tiles)))
-                if out:
-                    row, *rest = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), *[pa.array(c, pa.int64()) for c in rest]], names=[key, *MATCH]
-                    )
+        # a row's repeated seeds count once
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] != lo[:-1])])
+        row, lo, many = row[new], lo[new], (hi - lo)[new]
+        total = np.concatenate([[0], np.cumsum(many)])
+        ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row))  # of the rows
+        a = 0
+        while a < len(row):
+            fits = ends[(ends > a) & (total[ends] - total[a] <= HELD)]
+            b = int(fits[-1]) if len(fits) else int(ends[ends > a][0])
+            pairs = _counted(index, row[a:b], lo[a:b], many[a:b], item, k, threshold, n_items)
+            yield from _covering(index, pairs, row[a:b], lo[a:b], many[a:b], item, place, k, threshold, n_items)
+            a = b
+
+
+def _pieces(many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of seeds with ``HELD`` occurrences in items at most, or one seed."""
+    total, a = np.concatenate([[0], np.cumsum(many)]), 0
+    while a < len(many):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + HELD, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def _counted(index: Index, row, lo, many, item, k: int, threshold: float, n_items: int) -> np.ndarray:
+    """Pairs (row * items + item) with seeds enough, sorted."""
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in _pieces(many):
+        pair = np.repeat(row[a:b], many[a:b]) * n_items + item[_spread(lo[a:b], many[a:b])]
+        pair, count = np.unique(pair, return_counts=True)
+        merged, at = np.unique(np.concatenate([held[0], pair]), return_inverse=True)
+        held = merged, np.bincount(at, np.concatenate([held[1], count])).astype(np.int64)
+    return held[0][held[1] * k >= threshold * index.sizes[held[0] % n_items]]
+
+
+def _covering(index: Index, pairs, row, lo, many, item, place, k: int, threshold: float, n_items: int) -> Iterator[tuple[int, int]]:
+    """Those of the pairs whose seeds cover ``threshold`` of the item."""
+    for first in range(0, len(pairs), max(1, HELD // 512)):
+        some = pairs[first : first + max(1, HELD // 512)]
+        size = index.sizes[some % n_items]
+        base = np.cumsum(size) - size
+        covered = np.zeros(int(size.sum()), bool)
+        for a, b in _pieces(many):
+            which = _spread(lo[a:b], many[a:b])
+            pair = np.repeat(row[a:b], many[a:b]) * n_items + item[which]
+            at = np.minimum(np.searchsorted(some, pair), len(some) - 1)
+            good = some[at] == pair
+            begin = base[at[good]] + place[which[good]]
+            for j in range(k):
+                covered[begin + j] = True
+        share = np.add.reduceat(covered, base) if len(base) else np.zeros(0)
+        for p in some[share >= threshold * size].tolist():
+            yield p // n_items, p % n_items
+
+
+def _matches(index: Index, texts: pa.Array, threshold: float, *, first_only: bool = False) -> list[tuple]:
+    """Row of ``texts``, item id and measures of each leak."""
+    out: list[tuple] = []
+    for a, b in words.groups(texts):
+        hashes, start = tokens(texts.slice(a, b - a))
+        found: set[int] = set()
+        for row, item in _candidates(index, hashes, start, threshold):
+            if first_only and row in found:
+                continue
+            pattern = index.hashes[index.start[item] : index.start[item + 1]]
+            tiles = tile_matches(pattern, hashes[start[row] : start[row + 1]], min(index.tile, len(pattern)))
+            covered = sum(n for _, _, n in tiles)
+            if covered >= threshold * len(pattern):
+                found.add(row)
+                out.append((a + row, index.ids[item], len(pattern), covered, len(tiles), max(n for _, _, n in tiles)))
+    return out
 
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    return rows.mapInArrow(run, f"{key} long, " + ", ".join(f"{c} long" for c in MATCH))
+
+def _blocks(benchmark: DataFrame, item: str, item_text: str, tile: int, block_bytes: int) -> Iterator[Index]:
+    """Indexes of the benchmark's items, each of about ``block_bytes`` of text."""
+    items = benchmark.select(column(item).cast("long").alias("i"), column(item_text).alias("t")).filter("t is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-total * 2 // block_bytes)) if total > block_bytes else 1
+    for n in range(blocks):
+        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n)
+        rows = sorted(((r["i"], r["t"]) for r in block.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        yield Index([r[0] for r in rows], [r[1] for r in rows], tile)
 
 
 MATCH = ["item_id", "n_item_tokens", "n_covered", "n_tiles", "longest_tile"]
@@ -194,16 +278,58 @@ def find_leaks(
     """One row per document row and item that leaks into it: key and ``MATCH``, coverage.
 
     Null and token-less texts and items match nothing; items shorter than a tile need
-    all their tokens in a row. Repeated rows give repeated results; an empty table on
-    either side gives none.
+    all their tokens in a row. A null key or item id stays null. Repeated rows give
+    repeated results; an empty table on either side gives none.
     """
-    items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-total * 2 // block_bytes)) if total > block_bytes else 1
+    rows = docs.select(column(key).cast("long").alias("key"), column(text).alias("text"))
+
+    def against(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # at most block_bytes of text
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = _matches(shared.value, batch.column(1), threshold)
+                if out:
+                    at, *rest = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(at)), *[pa.array(c, pa.int64()) for c in rest]], names=["key", *MATCH]
+                    )
+
+        return rows.mapInArrow(lean(run), "key long, " + ", ".join(f"{c} long" for c in MATCH))
+
     found = None
-    for n in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n)
-        rows = sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in block.collect())
-        part = _against(docs, Index([r[0] for r in rows], [r[1] for r in rows], tile), key, text, threshold)
-        found = part if found is None else found.unionByName(part)
-    return found.withColumn("coverage", F.col("n_covered") / F.col("n_item_tokens"))
+    for index in _blocks(benchmark, item, item_text, tile, block_bytes):
+        found = against(index) if found is None else found.unionByName(against(index))
+    return found.select(F.col("key").alias(key), *MATCH, (F.col("n_covered") / F.col("n_item_tokens")).alias("coverage"))
+
+
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    tile: int = TILE,
+    threshold: float = THRESHOLD,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` into which no item leaks, in one pass and without a key; all
+    columns, whatever their names, pass through."""
+    columns, place = docs.columns, docs.columns.index(text)
+    rows = numbered(docs, columns)
+
+    def without(rows: DataFrame, index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # at most block_bytes of text
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[m[0] for m in _matches(shared.value, batch.column(place), threshold, first_only=True)]] = False
+                yield batch.filter(pa.array(stays))
+
+        return rows.mapInArrow(lean(run), rows.schema)
+
+    for index in _blocks(benchmark, item, item_text, tile, block_bytes):
+        rows = without(rows, index)
+    return rows.toDF(*columns)

@@ -27,8 +27,9 @@ one centre, the member with the most crowded signatures. Members that link to it
 one component. Pairs with a member that does not are bounded twice before they are
 verified: by the triangle inequality of the Jaccard distance to the centre, and by
 parity sketches, where the number of bits that differ never exceeds the number of
-features that differ. No pair of linked sets is lost, and pairs within a large group
-are compared in blocks of bounded size, never enumerated.
+features that differ. No pair of linked sets is lost. Only pairs with a member that
+does not link to the centre are compared at all, in blocks of bounded size, and never
+enumerated.
 
 Candidates that share too few signatures to be partners are dropped (the bound above
 again); the rest is verified on the full sets.
@@ -41,10 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from . import graph, words
+from .memory import lean
+from .names import column, numbered, unused
 from .storage import Scratch, small_batches
 
 SHINGLE = 5
@@ -160,7 +164,7 @@ def _sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n_shingles", "hi", "lo"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, n_shingles long, hi long, lo long")
+    return rows.mapInArrow(lean(run), "key long, n_shingles long, hi long, lo long")
 
 
 CLASS_SCHEMA = "id long, hi long, lo long, size long, parts0 long, parts1 long, text string"
@@ -212,8 +216,8 @@ def _classes(docs: DataFrame, text: str, shingle: int) -> DataFrame:
                 made += b - a
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "hi", "lo", "size", "parts0", "parts1", "text"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(once, "hi long, lo long, text string")
-    return rows.repartition("hi").sortWithinPartitions("hi", "lo").mapInArrow(number, CLASS_SCHEMA)
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(lean(once), "hi long, lo long, text string")
+    return rows.repartition("hi").sortWithinPartitions("hi", "lo").mapInArrow(lean(number), CLASS_SCHEMA)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -291,7 +295,7 @@ def _sent(classes: DataFrame, cells: int, crowd: int, shingle: int) -> DataFrame
                         after = int(ids[f - 1]) + 1
         yield from flush()
 
-    return classes.select("id", "text").mapInArrow(run, "cell int, kind int, base long, blob binary")
+    return classes.select("id", "text").mapInArrow(lean(run), "cell int, kind int, base long, blob binary")
 
 
 def _meet(sent: DataFrame, crowd: int) -> DataFrame:
@@ -318,7 +322,7 @@ def _meet(sent: DataFrame, crowd: int) -> DataFrame:
             self.flags = np.zeros(0, _U)
             self.sigs: list[np.ndarray] = []
             self.sets: list[np.ndarray] = []
-            self.held, self.most = 0, 4 * CELL
+            self.held, self.most = 0, 2 * CELL
 
         def add(self, kind: int, base: int, blob: bytes) -> Iterator[pa.RecordBatch]:
             value = _unpack(blob)
@@ -335,7 +339,7 @@ def _meet(sent: DataFrame, crowd: int) -> DataFrame:
                 if self.held > self.most:  # members of crowded signatures can go at once
                     sig, member, size = yield from self.sorted()
                     self.sigs, self.sets, self.held = [sig], [member], len(sig)
-                    self.most = max(4 * CELL, 2 * self.held)
+                    self.most = max(2 * CELL, 2 * self.held)
 
         def sorted(self):
             sig, member = np.concatenate(self.sigs), np.concatenate(self.sets)
@@ -380,7 +384,7 @@ def _meet(sent: DataFrame, crowd: int) -> DataFrame:
                 yield from cell.add(int(kinds[i]), int(bases[i]), batch.column(3)[i].as_buffer().to_pybytes())
         yield from cell.close()
 
-    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "x long, y long, n long, sig long")
+    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(run), "x long, y long, n long, sig long")
 
 
 def _features(classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -395,7 +399,7 @@ def _features(classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["rep", "features"]
                 )
 
-    return classes.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(run, "rep long, features binary")
+    return classes.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(lean(run), "rep long, features binary")
 
 
 def _parity(features: np.ndarray, bits: int) -> bytes:
@@ -437,26 +441,31 @@ def _shared(pairs: DataFrame, features: DataFrame, *, sketch: bool = False) -> D
     right = features.select(F.col("rep").alias("y"), F.col("features").alias("q"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q")
     schema = "x long, y long, both long, either long" + (", size long, bits binary" if sketch else "")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def _near_in_block(table: pa.Table) -> pa.Table:
-    """Pairs of a block pair's members that their bounds leave open: x, y."""
+    """Pairs of a block pair's members that their bounds leave open: x, y.
+
+    ``near``: one block is of sets that link to the centre, the other of sets that don't;
+    else both are of the latter.
+    """
     table = table.combine_chunks()
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    near, i, j = table["near"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
     block, y, d, size = (table[c].to_numpy() for c in ("block", "y", "d", "size"))
     bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(len(y), -1).view(_U)
     order = np.argsort(d, kind="stable")
     block, y, d, size, bits = block[order], y[order], d[order], size[order], bits[order]
+    first_far = int(np.searchsorted(d, 0.25, "right"))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(len(y)):
-        # those after a in distance, no more than 1/4 away, and not linked to the centre with it
-        lo = max(a + 1, int(np.searchsorted(d, 0.25, "right")))
+    for a in range(first_far if near else len(y)):
+        # those after a in distance, no more than 1/4 away, and not linked to the centre
+        lo = max(a + 1, first_far)
         hi = int(np.searchsorted(d, d[a] + SLACK, "right"))
         if lo >= hi:
             continue
         b = np.arange(lo, hi)
-        if i != j:
+        if not near and i != j:
             b = b[block[b] != block[a]]
         b = b[4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])]
         if not len(b):
@@ -482,14 +491,24 @@ def _crowded_links(crowded: DataFrame, features: DataFrame, scratch: Scratch) ->
     links = seen.filter("100 * both >= 75 * either").select("x", "y")
     # distance d = 1 - both / either; two members may link only if theirs are 1/4 apart at most
     measured = seen.select(F.col("x").alias("c"), "y", (1 - F.col("both") / F.col("either")).alias("d"), "size", "bits")
-    groups = measured.groupBy("c").agg(F.min(F.when(F.col("d") > 0.25, F.col("d"))).alias("nearest"), F.count(F.lit(1)).alias("n"))
+    # a pair with a member that does not link to the centre is open; the others are linked by it
+    far = F.col("d") > 0.25
+    groups = measured.groupBy("c").agg(
+        F.min(F.when(far, F.col("d"))).alias("nearest"), F.count_if(far).alias("n_far"), F.count_if(~far).alias("n_near")
+    )
     groups = scratch.save(groups.filter("nearest is not null"), "groups").withColumnRenamed("c", "_c")
     left = measured.join(groups, F.col("c") == F.col("_c")).filter(F.col("d") >= F.col("nearest") - SLACK)
-    blocks = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("y"), blocks).cast("int")).withColumn("_blocks", blocks)
-    sent = left.select("c", "y", "d", "size", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other"))
-    sent = sent.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    near = sent.groupBy("c", "i", "j").applyInArrow(_near_in_block, "x long, y long").distinct()
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_SETS).cast("int")
+    left = left.withColumn("block", F.pmod(F.xxhash64("y"), F.when(far, blocks("n_far")).otherwise(blocks("n_near"))).cast("int"))
+    to = lambda near, i, j: F.struct(F.lit(near).alias("near"), i.alias("i"), j.alias("j"))
+    of = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), blocks(n) - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.col("block")
+    from_far = F.concat(
+        F.transform(of("n_near"), lambda o: to(True, o, own)), F.transform(of("n_far"), lambda o: to(False, F.least(own, o), F.greatest(own, o)))
+    )
+    sent = left.select("c", "y", "d", "size", "bits", "block", F.explode(F.when(far, from_far).otherwise(F.transform(of("n_far"), lambda o: to(True, own, o)))).alias("to"))
+    sent = sent.select("c", "y", "d", "size", "bits", "block", "to.near", "to.i", "to.j")
+    near = sent.groupBy("c", "near", "i", "j").applyInArrow(_near_in_block, "x long, y long").distinct()
     with small_batches(spark):
         more = scratch.save(_shared(near, features).filter("100 * both >= 75 * either").select("x", "y"), "more-links")
     return links.unionByName(more)
@@ -554,6 +573,82 @@ def class_links(classes: DataFrame, scratch: Scratch, *, signatures_sent: int, c
     return links.unionByName(_crowded_links(crowded, features, scratch))
 
 
+class Components:
+    """The sets of ``docs``, their classes and their components, in the shared folder.
+
+    ``sets``: per row key, n_shingles and the set's digest (hi, lo; null if it is empty).
+    ``named``: per class hi, lo, class_id and component_id.
+    """
+
+    def __init__(self, docs: DataFrame, *, key: str, text: str, shingle: int, crowd: int, scratch: Scratch):
+        self.docs, self.key, self.text, self.shingle = docs, key, text, shingle
+        self.sets = sets = scratch.save(_sets(docs, key, text, shingle), "sets")
+        classes = scratch.save(_classes(docs, text, shingle), "classes")
+        scratch.free()
+        total = classes.agg(F.sum(F.col("parts0") + F.col("parts1"))).first()[0] or 0
+        links = class_links(classes, scratch, signatures_sent=total, crowd=crowd, shingle=shingle)
+        parts = graph.components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
+        parts = scratch.save(parts, "parts")
+        scratch.drop("features", "pairs", "crowded", "spare", "wanted")
+        scratch.free()
+        least = sets.filter("hi is not null").groupBy("hi", "lo").agg(F.min("key").alias("class_id"))
+        named = scratch.save(classes.select("id", "hi", "lo").join(least, ["hi", "lo"]), "classed")
+        scratch.drop("classes")
+        linked = parts.join(named, F.col("node") == F.col("id"))
+        # the class that stands for a component: of least key, if it has one, then of least digest
+        first = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "hi", "lo")).alias("first")
+        labels = linked.groupBy("component").agg(F.min("class_id").alias("part"), first)
+        labels = parts.join(labels, "component").select("node", "part", F.col("first.hi").alias("f_hi"), F.col("first.lo").alias("f_lo"))
+        labels = scratch.save(labels, "labels")
+        named = named.join(labels, F.col("id") == F.col("node"), "left").select(
+            "hi", "lo", "class_id",
+            F.when(F.col("node").isNull(), F.col("class_id")).otherwise(F.col("part")).alias("component_id"),
+            (F.col("node").isNull() | ((F.col("hi") == F.col("f_hi")) & (F.col("lo") == F.col("f_lo")))).alias("stands"),
+        )
+        self.named = scratch.save(named, "components")
+
+    def per_row(self) -> DataFrame:
+        named = self.named.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "class_id", "component_id")
+        rows = self.sets.join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left")
+        own = lambda c: F.when(F.col("hi").isNull(), F.col("key")).otherwise(F.col(c))
+        return rows.select(
+            F.col("key").alias(self.key), "n_shingles", own("component_id").alias("component_id"), own("class_id").alias("class_id")
+        )
+
+    def one_each(self) -> DataFrame:
+        """The rows of ``docs`` that stand for their components; those with empty sets all stay."""
+        key, text = self.key, self.text
+        columns = self.docs.columns
+        hi, lo, place = unused(columns, "hi", "lo", "place")
+        rows = _with_digest(self.docs, text, self.shingle, hi, lo)
+        stay = self.named.filter("stands").select(F.col("hi").alias("_h"), F.col("lo").alias("_l"), F.col("class_id").alias("_k"))
+        same = (F.col(hi) == F.col("_h")) & (F.col(lo) == F.col("_l")) & column(key).cast("long").eqNullSafe(F.col("_k"))
+        near = rows.filter(F.col(hi).isNotNull()).join(stay, same)
+        # of rows that repeat both key and set, the first by their other columns
+        orderable = [f.name for f in self.docs.schema.fields if isinstance(f.dataType, AtomicType)]
+        first = Window.partitionBy("_h", "_l", "_k").orderBy(*map(column, orderable))
+        near = near.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+        keep = [column(c) for c in columns]
+        return near.select(*keep).unionByName(rows.filter(F.col(hi).isNull()).select(*keep))
+
+
+def _with_digest(docs: DataFrame, text: str, shingle: int, hi: str, lo: str) -> DataFrame:
+    """``docs`` with the digest of each row's set, null if it is empty."""
+    rows, place = numbered(docs, docs.columns), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in words.groups(batch.column(place)):
+                part = batch.slice(a, b - a)
+                features, starts = words.shingles(part.column(place), shingle)
+                half = [pa.array(h.view(np.int64), mask=np.diff(starts) == 0) for h in digests(features, starts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *half], names=[*names, "hi", "lo"])
+
+    names = rows.columns
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields)
+    return rows.mapInArrow(lean(run), f"{schema}hi long, lo long").toDF(*docs.columns, hi, lo)
+
+
 def jaccard_components(
     docs: DataFrame,
     *,
@@ -573,29 +668,22 @@ def jaccard_components(
     their texts; a null key counts only where no linked (or equal) row has another.
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
-    sets = scratch.save(_sets(docs, key, text, shingle), "sets")
-    classes = scratch.save(_classes(docs, text, shingle), "classes")
-    scratch.free()
-    total = classes.agg(F.sum(F.col("parts0") + F.col("parts1"))).first()[0] or 0
-    links = class_links(classes, scratch, signatures_sent=total, crowd=crowd, shingle=shingle)
-    parts = graph.components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
-    parts = scratch.save(parts, "parts")
-    scratch.drop("features", "pairs", "crowded", "spare", "wanted")
-    scratch.free()
+    return Components(docs, key=key, text=text, shingle=shingle, crowd=crowd, scratch=scratch).per_row()
 
-    least = sets.filter("hi is not null").groupBy("hi", "lo").agg(F.min("key").alias("class_id"))
-    named = scratch.save(classes.select("id", "hi", "lo").join(least, ["hi", "lo"]), "named")
-    scratch.drop("classes")
-    linked = parts.join(named, F.col("node") == F.col("id")).select("component", "node", "class_id")
-    labels = linked.groupBy("component").agg(F.min("class_id").alias("part"))
-    labels = scratch.save(parts.join(labels, "component").select("node", "part"), "labels")
-    named = named.join(labels, F.col("id") == F.col("node"), "left").select(
-        F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "class_id",
-        F.when(F.col("node").isNull(), F.col("class_id")).otherwise(F.col("part")).alias("component_id"),
-    )
-    named = scratch.save(named, "components")
-    rows = sets.join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left")
-    own = lambda c: F.when(F.col("hi").isNull(), F.col("key")).otherwise(F.col(c))
-    return rows.select(
-        F.col("key").alias(key), "n_shingles", own("component_id").alias("component_id"), own("class_id").alias("class_id")
-    )
+
+def drop_linked(
+    docs: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    crowd: int = CROWD,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """``docs`` with one row of each component of linked rows: of the class with the least
+    key (any key before none, then by digest), and of its rows with that key the first by
+    all their columns. Rows with empty sets stay. Different texts that repeat a key, or
+    have none, are told apart.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "ngram")
+    return Components(docs, key=key, text=text, shingle=shingle, crowd=crowd, scratch=scratch).one_each()

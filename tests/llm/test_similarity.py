@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +192,7 @@ def test_components_of_a_graph(spark):
 
 def brute_tiling(p, t, tile):
     """Plain greedy string tiling: always the longest unmarked match, first by places."""
-    mp, mt, covered = [False] * len(p), [False] * len(t), 0
+    mp, mt, found = [False] * len(p), [False] * len(t), []
     while True:
         best = (tile - 1, 0, 0)
         for a in range(len(p)):
@@ -202,24 +203,23 @@ def brute_tiling(p, t, tile):
                 if n > best[0]:
                     best = (n, a, b)
         if best[0] < tile:
-            return covered
+            return found
         n, a, b = best
         for i in range(n):
             mp[a + i] = mt[b + i] = True
-        covered += n
+        found.append((a, b, n))
 
 
 def test_tiling_against_brute_force():
     rng = np.random.default_rng(9)
-    for _ in range(150):
-        p, t = (rng.integers(0, 3, rng.integers(0, 26)).astype(np.uint64) for _ in range(2))
+    for round_ in range(300):
+        p, t = (rng.integers(0, 3 + round_ % 3, rng.integers(0, 45)).astype(np.uint64) for _ in range(2))
         tiles = decontam.tile_matches(p, t, 3)
         for seq, k in ((p, 0), (t, 1)):
             used = [i for m in tiles for i in range(m[k], m[k] + m[2])]
             assert len(used) == len(set(used)) and all(i < len(seq) for i in used)
         assert all((p[a : a + n] == t[b : b + n]).all() for a, b, n in tiles)
-        # both are greedy; halving the search length may take equal-class matches in another order
-        assert abs(sum(n for _, _, n in tiles) - brute_tiling(p.tolist(), t.tolist(), 3)) <= 6
+        assert sorted(tiles) == sorted(brute_tiling(p.tolist(), t.tolist(), 3))
         left_p = np.ones(len(p), bool)
         left_t = np.ones(len(t), bool)
         for a, b, n in tiles:
@@ -256,3 +256,77 @@ def test_leaks(spark):
     assert decontam.find_leaks(df.limit(0), bench).collect() == []
     assert decontam.find_leaks(df, bench.limit(0)).collect() == []
     assert decontam.find_leaks(df.withColumn("item_id", F.lit(1)), bench.withColumn("doc_id", F.lit(1))).count() == len(rows)
+
+
+def brute_leaks(docs, items, tile=5, threshold=0.5):
+    """Every document against every item: plain tiling over Unicode words."""
+    alone = re.compile(r"[\u4e00-\u9fff\u3041-\u30ff\u0e01-\u0e3a]|[^\W_\u4e00-\u9fff\u3041-\u30ff\u0e01-\u0e3a]+")
+    words_of = lambda t: alone.findall((t or "").lower())
+    out = []
+    for d, text in docs:
+        t = words_of(text)
+        for i, item in items:
+            p = words_of(item)
+            found = brute_tiling(p, t, min(tile, len(p))) if p else []
+            covered = sum(n for _, _, n in found)
+            if p and covered and covered >= threshold * len(p):
+                out.append((d, i, len(p), covered, len(found), max(n for _, _, n in found)))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    """The whole operator, with quotes and dashes, Chinese, shared openings, null ids and repeated rows."""
+    rng = random.Random(12)
+    opening = [rng.choice(VOCABULARY) for _ in range(14)]
+    items = [(i, " ".join((opening if i % 3 else []) + [rng.choice(VOCABULARY) for _ in range(rng.randrange(6, 20))])) for i in range(24)]
+    items += [(None, "“one two—three four” five six"), (-1, "quoted ‘words’ of four"), (100, "机器学习是人工智能的一个分支它研究算法"), (101, "été d’hiver, l’œuvre"), (102, ""), (None, None), (103, "...")]
+    docs = []
+    for i in range(60):
+        body = [rng.choice(VOCABULARY) for _ in range(rng.randrange(0, 40))]
+        part = (rng.choice(items[:24])[1]).split()
+        cut = rng.randrange(len(part))
+        body[len(body) // 2 : len(body) // 2] = [*part[cut:], "x", *part[: rng.randrange(cut, len(part) + 1)]]
+        docs.append((i, " ".join(body)))
+    docs += [(200, "He said: one – two, three… four; «five» six!"), (201, "quoted words of four"), (201, "quoted words of four"), (202, "我们认为机器学习是人工智能的一个分支,它研究算法。"),
+             (None, "ÉTÉ d'hiver l'œuvre"), (204, " ".join(opening)), (205, None), (206, "")]
+    df = spark.createDataFrame([(*d, 1, "a") for d in docs], "doc_id long, text string, item_id int, key string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items)
+    for block in (1 << 20, 900):
+        got = decontam.find_leaks(df, bench, block_bytes=block).select("doc_id", *decontam.MATCH).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        kept = decontam.drop_leaks(df, bench, block_bytes=block)
+        leaked = {d for d, *_ in want}
+        assert kept.columns == df.columns
+        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in leaked), key=str)
+
+
+def test_seeds_that_many_items_share(spark, monkeypatch):
+    """What is held is bounded, and the result does not depend on the bound."""
+    rng = random.Random(4)
+    opening = [f"o{i}" for i in range(30)]
+    texts = [" ".join(opening + [f"i{i}w{j}" for j in range(rng.choice([4, 60]))]) for i in range(300)]
+    index = decontam.Index(list(range(300)), texts, 5)
+    hashes, start = decontam.tokens(pa.array([" ".join(opening), "none of it", " ".join(opening * 2), texts[7]]))
+    want = sorted(decontam._candidates(index, hashes, start, 0.5))
+    assert len(want) > 100
+    for held in (1, 100, 5000):
+        monkeypatch.setattr(decontam, "HELD", held)
+        assert sorted(decontam._candidates(index, hashes, start, 0.5)) == want
+
+
+def test_one_row_of_each_component(spark):
+    rng = random.Random(3)
+    base = [[rng.choice(VOCABULARY) for _ in range(60)] for _ in range(4)]
+    near = lambda b: " ".join([*b[:-1], "changed"])
+    text = lambda b: " ".join(b)
+    rows = [(5, text(base[0]), "s"), (5, text(base[1]), "s"), (7, near(base[0]), "s"), (9, near(base[1]), "s"), (5, text(base[0]), "a"), (None, text(base[2]), "s"),
+            (3, near(base[2]), "s"), (None, text(base[3]), "s"), (None, near(base[3]), "s"), (None, None, "s"), (None, None, "s"), (8, "", "s"), (8, "alone", "s")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, hi int").repartition(3)
+    out = ngram_join.drop_linked(df)
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect())
+    alone = [k for k in got if k[0] is None and k[1] in (text(base[3]), near(base[3]))]
+    assert len(alone) == 1
+    want = Counter([(5, text(base[0]), "a"), (5, text(base[1]), "s"), (3, near(base[2]), "s"), alone[0], (None, None, "s"), (None, None, "s"), (8, "", "s"), (8, "alone", "s")])
+    assert got == want
