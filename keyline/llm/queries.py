@@ -249,7 +249,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are written as WARC files, read back, and their revisits get headers and bodies."""
     scratch = Scratch(spark, "crawl")
     warc.write_warc(page_records(_table(spark, sf_dir, "pages")), scratch.path("files"))
-    out = warc.resolve_revisits(warc.read_warc(spark, scratch.path("files")))
+    out = warc.resolve_revisits(warc.read_warc(spark, scratch.path("files"), damaged="fail"))
     return out.select(
         "record_id", "canonical", "ts", "response_id", "response_ts", "outcome",
         *[F.element_at("headers", h).alias(h.replace("-", "_")) for h in ("etag", "x-length", "date")],

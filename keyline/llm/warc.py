@@ -11,14 +11,19 @@ partitions of that order are; so a URL with a third of all records is spread ove
 slots, whatever its times. Every slot gets the latest response before it from the table
 of the slots' last responses, which is small.
 
-WARC files are read as text that ends with the mark of the next record, so a task holds
-one record and not a file.
+WARC files are read as text that ends with the mark of the next record, gzip files as
+rows of their bytes, so a task holds one record and not a file. What is damaged in them is
+told from what could not be read, and is an error, a row of a report, or left out.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import deque
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -135,32 +140,45 @@ def resolve_revisits(records: DataFrame, *, slots: int | None = None, scratch: S
     return out.join(bodies, out["body"] == bodies["row"]).drop("body", "row")
 
 
-#: What begins a record; the rest of the version follows.
-MARK = "WARC/1."
+#: What begins a file, and in it a record behind an earlier one; the rest of the version follows.
+BEGIN = "WARC/1."
+MARK = "\n" + BEGIN
+#: What cuts gzip files into rows: frequent in what is stored, every 64 kB in what is compressed.
+CUT = "\r\n"
+#: Gzip data goes to zlib in steps of so many bytes, which bounds what comes out of each.
+STEP = 64 << 10
 
 
-def parse_record(data: bytes) -> tuple | int | None:
+def parse_record(data: bytes) -> tuple | int | str:
     """A record behind its ``MARK``, as RECORD_SCHEMA; the bytes that are still missing; or
-    None for what is no record or has no valid length."""
+    what is wrong with it."""
     end = data.find(b"\r\n\r\n")
+    if end < 0 and data.endswith(b"\r\n\r"):  # the next mark took the line's end
+        end = len(data) - 3
     if not re.match(rb"\d\r\n", data) or end < 0:
-        return None
+        return "no version or no end of the head"
     fields = _fields(data[:end])
     if not fields.get("content-length", "").isascii() or not fields.get("content-length", "").isdigit():
-        return None
+        return "no valid length"
     size = int(fields["content-length"])
+    if size >= 1 << 31:
+        return "longer than a row can be"
     body = data[end + 4 : end + 4 + size]
     if len(body) < size:
         return size - len(body)
+    if data[end + 4 + size :].strip(b"\r\n"):
+        return "bytes behind the payload"
+    ts = _seconds(fields.get("warc-date"))
+    if ts is None and "warc-date" in fields:
+        return "no valid date"
     status, headers, payload = None, None, body
     if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http;msgtype=response"):
         head, _, payload = body.partition(b"\r\n\r\n")
         first = re.match(rb"HTTP/\S+ (\d{3})", head)
+        if not first and (body or fields.get("warc-type") != "revisit"):
+            return "no valid status line"
         status, headers = int(first[1]) if first else None, _fields(head)
-    return (
-        fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"),
-        _seconds(fields.get("warc-date")), status, headers, payload,
-    )
+    return fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), ts, status, headers, payload
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -169,51 +187,147 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _seconds(date: str | None) -> int | None:
-    from datetime import datetime
-
+    """Of a W3C date, which may be a year or a month alone; without a zone it is UTC."""
+    if date is None:
+        return None
+    if re.fullmatch(r"\d{4}(-\d\d)?", date):
+        date += "-01" if len(date) == 7 else "-01-01"
     try:
-        return int(datetime.fromisoformat(date.replace("Z", "+00:00")).timestamp()) if date else None
+        when = datetime.fromisoformat(date)
     except ValueError:
         return None
+    return int((when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp())
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at ``path`` (plain or gzip), streamed: a task holds a record.
+def _gunzip(rows: Iterator[bytes], faults: list[str]) -> Iterator[bytes]:
+    """What a gzip file holds, up to its end or to what is wrong with it."""
+    member, cut = None, b""
+    try:
+        for row in rows:
+            raw, cut = cut + row, CUT.encode()
+            for i in range(0, len(raw), STEP):
+                data = raw[i : i + STEP]
+                while data:
+                    if member is None or member.eof:
+                        data = data.lstrip(b"\0") if member else data  # zeros may fill a block
+                        if not data:
+                            break
+                        member = zlib.decompressobj(31)
+                    yield member.decompress(data)
+                    data = member.unused_data
+    except zlib.error as e:
+        faults.append(f"gzip: {e}")
+        return
+    if member and not member.eof:
+        try:  # the reader drops a cut that ends a file
+            last = member.decompress(CUT.encode())
+        except zlib.error:
+            last = b""
+        if member.eof:
+            yield last
+        else:
+            faults.append("the gzip file breaks off")
+
+
+def _pieces(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of a file between its marks."""
+    mark, held, tail = MARK.encode(), [], b""
+    for data in stream:
+        *whole, rest = (tail + data).split(mark)
+        for piece in whole:
+            yield b"".join([*held, piece])
+            held = []
+        near = max(len(rest) - len(mark) + 1, 0)  # a mark may begin there
+        held.append(rest[:near])
+        tail = rest[near:]
+    yield b"".join([*held, tail])
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple | str]:
+    """The records of a file, and what is wrong where one is damaged."""
+    again: deque[bytes] = deque()
+    mark = MARK.encode()
 
-    A record that is cut off, or whose length is no number, is left out and reading goes
-    on with the next; a gzip file that breaks off ends there. A payload that holds the
-    mark of a record is put together again; in a plain (not gzip) file only if it does not
-    lie across the border of two splits.
+    def take() -> bytes | None:
+        return again.popleft() if again else next(pieces, None)
+
+    while (piece := take()) is not None:
+        parts, record = [piece], parse_record(piece)
+        while isinstance(record, int):  # goes on with a payload that holds the mark
+            while record > 0 and (piece := take()) is not None:
+                parts.append(piece)
+                record -= len(mark) + len(piece)
+            record = "cut off" if record > 0 else parse_record(mark.join(parts))
+        if isinstance(record, str):  # what was taken for its payload may be records
+            again.extendleft(reversed(parts[1:]))
+        yield record
+
+
+def _file(rows: Iterator[bytes], start: int, gzip: bool) -> Iterator[tuple | str]:
+    """:func:`_records` of the rows of a file, or of a split that begins at ``start``."""
+    faults: list[str] = []
+    pieces = _pieces(_gunzip(rows, faults)) if gzip else rows
+    if not start:
+        first = next(pieces, b"")
+        if first.startswith(BEGIN.encode()):
+            pieces = chain([first[len(BEGIN) :]], pieces)
+        elif first:
+            yield "no record at the beginning"
+    yield from _records(pieces)
+    yield from faults
+
+
+def read_warc(spark: SparkSession, path: str, *, damaged: str = "skip") -> DataFrame:
+    """Records of the WARC files at ``path`` (plain or .gz), streamed: a task holds a record.
+
+    A record is damaged if it is cut off, has no valid length, a date or an HTTP status
+    line that can't be read, or other bytes behind its payload; a file, if something else
+    comes first, or if its gzip data is broken, where reading it ends. ``damaged`` says
+    what comes of that. 'fail': an error that names the file. 'report': two more columns,
+    ``file`` and ``damage``, and a row without a record for each damage. 'skip': it is left
+    out, unseen, so only for crawls known to be damaged. Each time reading goes on with
+    the next mark of a record. A file that can't be read for other reasons is an error.
+
+    A payload that holds the mark of a record is put together again. In a plain file that
+    fails across the border of two splits: the record is damaged, and records in the rest
+    of its payload count as such.
     """
-    names = ["record_id", "warc_type", "url", "ts", "status", "headers", "payload"]
-    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
-    mark = MARK.encode()
+    if damaged not in ("fail", "report", "skip"):
+        raise ValueError(f"damaged: {damaged}")
+    names = ["record_id", "warc_type", "url", "ts", "status", "headers", "payload", "file", "damage"]
+    types = [
+        pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.string(),
+    ]
+    schema = RECORD_SCHEMA
+    if damaged == "report":
+        schema += ", file string, damage string"
+    else:
+        names, types = names[:7], types[:7]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bytes]]:
+        for batch in batches:
+            where = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for at, value in zip(where, batch.column(0), strict=True):
+                yield at, value.as_py() or b""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], gzip: bool) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, parts, missing, place = 0, [], 0, None
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
-
-        for batch in batches:
-            where = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            for at, value in zip(where, batch.column(0), strict=True):
-                data = value.as_py() or b""
-                if at != place or not parts:
-                    place, parts, missing = at, [data], 0
-                else:  # goes on with a payload that holds the mark
-                    parts += [mark, data]
-                    missing -= len(mark) + len(data)
-                    if missing > 0:
+            columns = list(zip(*held, strict=True))[: len(names)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for (file, start), of in groupby(rows(batches), key=lambda r: r[0]):
+            for record in _file((data for _, data in of), start, gzip):
+                if isinstance(record, str):
+                    if damaged == "fail":
+                        raise ValueError(f"damaged WARC file {file}: {record}")
+                    if damaged == "skip":
                         continue
-                record = parse_record(b"".join(parts))
-                if isinstance(record, int):
-                    missing = record
-                    continue
-                parts = []
-                if record is not None:
-                    held.append((*record[:5], None if record[5] is None else list(record[5].items()), record[6]))
+                    held.append((*[None] * 7, file, record))
+                else:
+                    held.append((*record[:5], None if record[5] is None else list(record[5].items()), record[6], file, None))
                     size += len(record[6])
                 if size > 8 << 20 or len(held) >= 10_000:
                     yield flush()
@@ -221,9 +335,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         if held:
             yield flush()
 
-    text = spark.read.option("lineSep", MARK).option("ignoreCorruptFiles", "true").text(path)
-    rows = text.select(F.col("value").cast("binary"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    return rows.mapInArrow(lean(run), RECORD_SCHEMA)
+    def scan(names: str, cut: str, gzip: bool) -> DataFrame:
+        # Spark can't tell a broken file from one that it could not read, so gzip data comes as it is
+        text = spark.read.option("pathGlobFilter", names).option("lineSep", cut)
+        text = text.option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false")
+        text = text.option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+        for place in ("", "org.apache.hadoop.shaded."):  # the option's name in Spark's build of the client
+            text = text.option(place + "io.compress.passthrough.extension", ".gz")
+        text = text.text(path).select(F.col("value").cast("binary"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+        return text.mapInArrow(lean(lambda batches: run(batches, gzip)), schema)
+
+    return scan("*.gz", CUT, True).union(scan("{*[!z],*[!g]z,*[!.]gz,z,gz}", MARK, False))
 
 
 def write_warc(records: DataFrame, path: str) -> None:

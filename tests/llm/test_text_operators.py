@@ -539,3 +539,93 @@ def test_warc_files(spark, tmp_path):
     assert next(r for r in rows if r["warc_type"] == "resource")["payload"] == 2 * info
     response = next(r for r in rows if r["warc_type"] == "response")
     assert response["payload"] == b"<p>hi</p>" and response["status"] == 200 and response["headers"]["etag"] == "\"1\"" and response["ts"] == 1704164645
+
+
+INFO = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+HTTP = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: 2024-01\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 21\r\n\r\nHTTP/1.1 200 -\r\n\r\nabc\r\n\r\n"
+DAMAGED = {
+    "cut off": INFO + INFO[:-5],
+    "no valid length": INFO + INFO.replace(b"Length: 2", b"Length: two"),
+    "bytes behind the payload": INFO + INFO.replace(b"hi", b"hi and more"),
+    "no record at the beginning": b"<html>503</html>",
+    "no valid date": HTTP.replace(b"2024-01", b"yesterday"),
+    "no valid status line": HTTP.replace(b"HTTP/1.1 200", b"HTTP/1.1 -no"),
+}
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_damaged_warc_is_no_result(spark, tmp_path, packed):
+    """Damage is an error that names the file, or a row of the report."""
+    import gzip
+
+    put = lambda data: gzip.compress(data) if packed else data
+    for i, (reason, data) in enumerate(DAMAGED.items()):
+        file = tmp_path / f"{i}.warc{'.gz' if packed else ''}"
+        file.write_bytes(put(data))
+        with pytest.raises(Exception, match=f"{file.name}: {reason}"):
+            warc.read_warc(spark, str(file), damaged="fail").collect()
+    rows = warc.read_warc(spark, str(tmp_path), damaged="report").collect()
+    assert sorted(r["damage"] for r in rows if r["damage"]) == sorted(DAMAGED)
+    assert sum(r["damage"] is None for r in rows) == 3 == warc.read_warc(spark, str(tmp_path)).count()
+
+
+def test_broken_gzip_is_no_result(spark, tmp_path):
+    import gzip
+
+    whole = gzip.compress(INFO) + gzip.compress(HTTP) + bytes(100)
+    flipped = bytearray(whole)
+    flipped[len(gzip.compress(INFO)) - 5] ^= 1  # in the checksum
+    for name, data, least in (("short", whole[:-105], 2), ("flipped", bytes(flipped), 0), ("junk", b"<html>", 0)):
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+        with pytest.raises(Exception, match=f"{name}.warc.gz: "):
+            warc.read_warc(spark, str(tmp_path / f"{name}.warc.gz"), damaged="fail").collect()
+        rows = warc.read_warc(spark, str(tmp_path / f"{name}.warc.gz"), damaged="report").collect()
+        assert sum(r["damage"] is None for r in rows) == least and any("gzip" in (r["damage"] or "") for r in rows)
+    (tmp_path / "good.warc.gz").write_bytes(whole)
+    good = warc.read_warc(spark, str(tmp_path / "good.warc.gz"), damaged="fail").collect()
+    assert [(r["warc_type"], r["ts"], r["payload"]) for r in good] == [("warcinfo", None, b"hi"), ("response", 1704067200, b"abc")]
+
+
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_unreadable_warc_is_an_error(spark, tmp_path, name):
+    """A read that fails is none of the file's damage, so it is never skipped."""
+    import gzip
+
+    (tmp_path / name).write_bytes(gzip.compress(INFO) if name.endswith("gz") else INFO)
+    (tmp_path / f".{name}.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + b"\1\2\3\4")
+    for damaged in ("skip", "report", "fail"):
+        with pytest.raises(Exception, match="(?i)checksum"):
+            warc.read_warc(spark, str(tmp_path / name), damaged=damaged).collect()
+
+
+def test_records_beside_damage_are_kept(spark, tmp_path):
+    """Marks in heads, and lengths that reach into the next records."""
+    import gzip
+
+    address = INFO.replace(b"Content", b"WARC-Target-URI: http://a/WARC/1.1/\r\nContent")
+    for i, length in enumerate((6, 7, 40, 10**6, 10**30)):
+        data = address + INFO.replace(b"Length: 2", b"Length: %d" % length).replace(b"warcinfo", b"bad") + 3 * address
+        (tmp_path / f"{i}.warc").write_bytes(data)
+        (tmp_path / f"{i}.warc.gz").write_bytes(gzip.compress(data))
+    got = warc.read_warc(spark, str(tmp_path), damaged="report").collect()
+    assert Counter(r["url"] for r in got if r["damage"] is None) == {"http://a/WARC/1.1/": 40}
+    assert Counter(r["file"].rsplit("/", 1)[1] for r in got if r["damage"]) == {f"{i}.warc{z}": 1 for i in range(5) for z in ("", ".gz")}
+
+
+def test_gzip_bytes_come_through_rows(spark, tmp_path):
+    """Stored and compressed, whatever line ends the bytes hold."""
+    import gzip
+
+    rng, sent = random.Random(3), []
+    for i, end in enumerate((b"\r\n", b"\r", b"\n", b"\r\r\n", b"")):
+        body = rng.randbytes(200_000) + 3 * end
+        data = INFO.replace(b"h: 2", b"h: %d" % len(body)).replace(b"hi", body, 1)
+        for level in (0, 9):
+            sent.append(body)
+            (tmp_path / f"{i}-{level}.warc.gz").write_bytes(gzip.compress(data, level))
+    got = warc.read_warc(spark, str(tmp_path), damaged="fail").collect()
+    assert sorted(bytes(r["payload"]) for r in got) == sorted(sent)
+    body = b"\0" * 0x0A0D0000  # its size ends the file in a cut
+    packed, faults = gzip.compress(body, 1), []
+    assert packed.endswith(b"\r\n") and sum(map(len, warc._gunzip(iter([packed[:-2]]), faults))) == len(body) and not faults
+    assert sum(map(len, warc._gunzip(iter([packed[:-3]]), faults))) == len(body) and faults == ["the gzip file breaks off"]
