@@ -141,7 +141,7 @@ class WordEncoder:
     A word of letters with signs behind them, or neither, is cut into these two pieces
     by Arrow; other runs of plain letters and signs (``PLAIN``, where every Unicode
     version agrees) by the file's own pattern. The library's model encodes pieces not
-    met before, so that it meets 'the', 'The' and 'the,' once.
+    met before, thousands a call, so that it meets 'the', 'The' and 'the,' once.
     """
 
     def __init__(self, path: str):
@@ -150,11 +150,18 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known, self.pieces = Memory(), Memory()
-        self.pattern = self._piece_pattern()
+        self.pattern, self.suffix = self._piece_pattern()
         self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        # the two bytes that stand for each one of Latin letters
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        latin = map(chr, range(0xC0, 0x180))
-        self.to_bytes = {ord(c): to_bytes.pre_tokenize_str(c)[0][0] for c in latin}
+        self.to_bytes = np.stack([np.arange(256, dtype=np.uint8), np.zeros(256, np.uint8)])
+        for c in map(chr, range(0xC0, 0x180)):
+            for byte, sign in zip(c.encode(), to_bytes.pre_tokenize_str(c)[0][0], strict=True):
+                self.to_bytes[:, byte] = list(sign.encode())
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if self.suffix and token.endswith(self.suffix)]] = True
         self.by_word = self.check()
 
     def forget(self) -> None:
@@ -163,7 +170,8 @@ class WordEncoder:
         self.pieces.clear()
 
     def _piece_pattern(self):
-        """The pre-token pattern, if the file's pipeline is lower case, split, byte level."""
+        """The pre-token pattern, if the file's pipeline is lower case, split, byte level, and
+        what the model puts behind the last token of a pre-token."""
         import json
 
         import regex
@@ -172,10 +180,11 @@ class WordEncoder:
         steps = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
         cut = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
         if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cut] != ["Split", "ByteLevel"]:
-            return None
+            return None, None
         split, level = cut
         plain = split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
-        return regex.compile(split["pattern"]["Regex"]) if plain and "Regex" in split["pattern"] else None
+        pattern = regex.compile(split["pattern"]["Regex"]) if plain and "Regex" in split["pattern"] else None
+        return pattern, said["model"].get("end_of_word_suffix")
 
     def check(self) -> bool:
         """Whether words can be encoded one by one, tried on a probe of hard cases."""
@@ -200,13 +209,44 @@ class WordEncoder:
         at, size = self.pieces.find(hashed)
         new = np.flatnonzero(at < 0)
         if len(new):
-            texts = coded.dictionary.take(pa.array(new)).to_pylist()
-            texts = [t if t.isascii() else t.translate(self.to_bytes) for t in texts]
-            at[new], size[new] = self._encode_all(self.model, texts, self.pieces)
+            at[new], size[new] = self._encode_pieces(coded.dictionary.take(pa.array(new)))
             self.pieces.keep(tuple(x[new] for x in hashed), at[new], size[new])
         of = coded.indices.to_numpy()
         return at[of], size[of]
 
+    def _joined(self, pieces: pa.StringArray) -> bytes:
+        """Pieces as the model sees them, byte by byte, with a blank behind each."""
+        data, where = utf8(pieces)
+        data = np.insert(data, where[1:], 32)
+        wide = data > 0x7F
+        ends = np.cumsum(1 + wide)
+        out = np.empty(int(ends[-1]), np.uint8)
+        out[ends - 1 - wide] = self.to_bytes[0, data]
+        out[ends[wide] - 1] = self.to_bytes[1, data[wide]]
+        return out.tobytes()
+
+    def _encode_pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode and append to the ids of ``self.pieces``: places and sizes.
+
+        Thousands of pieces go to the library as one text, which the model's pre-tokenizer
+        cuts at blanks. Only the last id of a piece has the suffix, so it says where the next
+        begins; where that does not add up, or there is no suffix, each piece is a text.
+        """
+        begin, size = self.pieces.used, np.zeros(len(pieces), np.int64)
+        for i in range(0, len(pieces), 4096):
+            some = pieces.slice(i, 4096)
+            text = self._joined(some).decode()
+            filled = i + np.flatnonzero(pc.binary_length(some).to_numpy())
+            if self.suffix and self.suffix not in text:
+                ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(filled) and (ends[-1] if len(ends) else 0) == len(ids):
+                    size[filled] = np.diff(ends, prepend=0)
+                    self.pieces.append(ids)
+                    continue
+            size[i : i + len(some)] = self._encode_all(self.model, text[:-1].split(" "), self.pieces)[1]
+        return begin + np.cumsum(size) - size, size
+
     @staticmethod
     def _encode_all(encoder, texts: list[str], memory: Memory) -> tuple[np.ndarray, np.ndarray]:
         """Encode and append to the ids of ``memory``: places and sizes."""

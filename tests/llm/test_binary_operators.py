@@ -186,6 +186,36 @@ def test_words_encode_like_whole_texts(tokenizer):
     assert slow.encode(HARD) == enc.encode(HARD)
 
 
+def test_pieces_reach_the_library_thousands_at_a_time():
+    """With the ids of whole texts, also where ends of pieces can't be told by the model's suffix."""
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.texts = model, 0
+
+        def __getattr__(self, name):
+            def call(texts, **options):
+                self.texts += len(texts)
+                return getattr(self.model, name)(texts, **options)
+
+            return call
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFÀÉßØÿĀıſ"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 14))) + rng.choice(["", ",", "</w>", "...", "×÷", "'s", "--1"]) for _ in range(9000)]
+    texts = [" ".join(words[i : i + 300]) for i in range(0, 9000, 300)] + ["", " ", "</w> a</w>b <"]
+    plain = [e.ids for e in tokens.WordEncoder(queries.tokenizer_path()).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for suffix, ends in (("</w>", True), (None, True), ("</w>", False), ("a", True)):
+        enc = tokens.WordEncoder(queries.tokenizer_path())
+        enc.forget()
+        enc.model, enc.suffix, enc.last = Counted(enc.model), suffix, enc.last & ends
+        assert [np.frombuffer(b, "<i4").tolist() for b in enc.encode(texts)] == plain
+        if suffix == "</w>" and ends:
+            assert 0 < enc.model.texts < 10 and len(enc.pieces) > 8000
+        else:
+            assert enc.model.texts > 8000
+
+
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_token_files(spark, tmp_path, tokenizer, encoding):
     rng = random.Random(5)
